@@ -2,6 +2,6 @@
 
 from faultline.registry.catalog import ORACLE, QUERIES
 
-from faultline.registry import change_queries, clean_queries, label_queries, text_queries  # noqa: F401  isort: skip
+from faultline.registry import change_queries, clean_queries, graph_queries, label_queries, text_queries  # noqa: F401  isort: skip
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.cluster import DICTIONARY_ROWS
-from faultline.functions.text import let, tokenize_code
+from faultline.cluster import DICTIONARY_ROWS, checkpointed
+from faultline.functions.text import tokenize_code
+from faultline.operators.ranking import row_index
 
 # Special ids, lengths and caps of the two model families, and of the word counts.
 SEQUENCE_MODEL = {"pad": 0, "unknown": 1, "length": 1024}
@@ -240,7 +241,7 @@ def char_text(c: Column) -> Column:
 def char_grams(c: Column, low: int, high: int) -> Column:
     """All substrings of low..high characters, found with one linear look-ahead scan per length."""
     text = char_text(c)
-    grams = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}})).".format()), F.lit(1)) for n in range(low, high + 1)]
+    grams = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in range(low, high + 1)]
     return F.flatten(F.array(*grams))
 
 
@@ -265,12 +266,54 @@ def words_without_subwords(terms: DataFrame, subwords: DataFrame) -> DataFrame:
 def char_counts(
     df: DataFrame, key: str, text: str, terms: DataFrame, low: int = CHAR_GRAM_RANGE[0] - 1, high: int = CHAR_GRAM_RANGE[1]
 ) -> DataFrame:
-    """Counts of the listed grams: (key, idx, tf). The list has no proven bound, so the planner picks the join."""
+    """Counts of the listed grams: (key, idx, tf).
+
+    A list that fits the dictionary limit is broadcast and filters the grams before the shuffle. A longer one
+    is joined after counting, when every gram of a text is down to one row.
+    """
+    side = terms.select("term", "idx")
     grams = df.select(key, F.explode(char_grams(F.col(text), low, high)).alias("term"))
+    if fits_dictionary(side):
+        return grams.join(F.broadcast(side), "term").groupBy(key, "idx").agg(F.count(F.lit(1)).alias("tf"))
     counted = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.join(terms.select("term", "idx"), "term").select(key, "idx", "tf")
+    return counted.join(side, "term").select(key, "idx", "tf")
+
+
+def subword_features(
+    train: DataFrame,
+    every: DataFrame,
+    key: str,
+    text: str,
+    max_features: int = MAX_FEATURES,
+    min_df: int = CHAR_MIN_DF,
+) -> tuple[DataFrame, DataFrame]:
+    """(features, counts): word columns that are no subword, then subword columns; counts for all texts.
+
+    ``features`` is (kind, term, idx). Both term lists come from training texts only and are checkpointed,
+    because every later step reads them.
+    """
+    tokens = train.select(tokenize_code(text).alias("__tokens"))
+    subwords = checkpointed(index_terms_large(select_subwords(fit_char_grams(train, text, min_df=min_df))))
+    words = checkpointed(
+        index_terms(words_without_subwords(fit_terms(tokens, "__tokens", max_features), subwords.select("term")))
+    )
+    n_words = words.count()
+    word_tf = term_counts(every.select(key, tokenize_code(text).alias("__tokens")), key, "__tokens", words)
+    char_tf = char_counts(every, key, text, subwords)
+    counts = stack_blocks((word_tf, n_words), (char_tf, 0))
+    features = words.select(F.lit("word").alias("kind"), "term", "idx").unionByName(
+        subwords.select(F.lit("char").alias("kind"), "term", (F.col("idx") + n_words).cast("int").alias("idx"))
+    )
+    return features, counts
+
+
+def fits_dictionary(df: DataFrame, rows: int = DICTIONARY_ROWS) -> bool:
+    """Whether a table is small enough for a deliberate broadcast; looks at no more than ``rows + 1`` rows."""
+    return df.limit(rows + 1).count() <= rows
 
 
-def let_tokens(c: Column, body) -> Column:
-    """Tokenize once and derive several columns from the tokens."""
-    return let(tokenize_code(c), body)
+def index_terms_large(terms: DataFrame) -> DataFrame:
+    """Alphabetical column numbers for a term set without a bound: numbered per first two bytes."""
+    head = F.rpad(F.substring(F.hex(F.encode("term", "UTF-8")), 1, 4), 4, "0")
+    ranked = row_index(terms, "idx", [F.col("term")], F.conv(head, 16, 10).cast("int"))
+    return ranked.select("term", F.col("idx").cast("int").alias("idx"))

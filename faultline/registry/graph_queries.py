@@ -6,6 +6,7 @@ to the next line and a data edge to the line after it; embeddings act as node ve
 
 from pyspark.sql import functions as F
 
+from faultline.cluster import checkpointed
 from faultline.operators import graph as G
 from faultline.operators import propagate as P
 from faultline.operators.ranking import quantile_bucket
@@ -367,7 +368,7 @@ def dependence_contexts(spark, d):
 )
 def indexed_line_graph(spark, d):
     nodes, edges, _ = _line_graph(spark, d)
-    return G.index_edges(edges, G.index_nodes(nodes, quantile_bucket(nodes, "line")))
+    return G.index_edges(edges, checkpointed(G.index_nodes(nodes, quantile_bucket(nodes, "line"))))
 
 
 @query(
@@ -379,7 +380,7 @@ def indexed_line_graph(spark, d):
 )
 def undirected_graph_with_loops(spark, d):
     nodes, edges, _ = _line_graph(spark, d)
-    indexed = G.index_nodes(nodes)
+    indexed = checkpointed(G.index_nodes(nodes))
     both = G.add_self_loops(G.add_reverse_edges(G.index_edges(edges, indexed)), indexed)
     return both.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
@@ -397,7 +398,7 @@ _VECTOR_SQL = """nodes AS (SELECT label AS g, row_number() OVER (PARTITION BY la
 
 def _vectors(spark, d):
     rows = table(spark, d, "embeddings").selectExpr("label AS graph_id", "vec_id AS line", "embedding AS vec")
-    nodes = G.index_nodes(rows, quantile_bucket(rows, "line"))
+    nodes = checkpointed(G.index_nodes(rows, quantile_bucket(rows, "line")))
     last = rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     ends = F.explode(F.array(F.col("idx") + 1, F.col("idx") + 2))
     steps = nodes.select("graph_id", F.col("idx").alias("src"), ends.alias("dst")).join(last, "graph_id")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from faultline.cluster import checkpointed
 from faultline.operators import metrics as M
 from faultline.operators import runs as R
 from faultline.operators import selection as S
@@ -360,11 +361,11 @@ def _epochs(spark, d):
 
 @query(
     "improvement_marks",
-    f"WITH {_EPOCH_SQL} SELECT conv_id, turn, position, improved, counter FROM counted",
+    f"WITH {_EPOCH_SQL} SELECT conv_id, turn, improved, counter FROM counted",
 )
 def improvement_marks(spark, d):
     marked = R.mark_improvements(_epochs(spark, d), "conv_id", "turn", "score")
-    return marked.select("conv_id", "turn", "position", "improved", "counter")
+    return marked.select("conv_id", "turn", "improved", "counter")
 
 
 @query(
@@ -376,11 +377,11 @@ def improvement_marks(spark, d):
         UNION ALL SELECT e.conv_id, e.position, CASE WHEN e.score > w.best + 25 THEN e.score ELSE w.best END,
           e.score > w.best + 25, CASE WHEN e.score > w.best + 25 THEN 0 ELSE w.counter + 1 END
         FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.position = w.position + 1)
-    SELECT conv_id, position, improved, counter FROM walk""",
+    SELECT e.conv_id, e.turn, w.improved, w.counter FROM walk w JOIN e USING (conv_id, position)""",
 )
 def improvement_marks_with_delta(spark, d):
     marked = R.mark_improvements(_epochs(spark, d), "conv_id", "turn", "score", delta=25.0)
-    return marked.select("conv_id", "position", "improved", "counter")
+    return marked.select("conv_id", "turn", "improved", "counter")
 
 
 @query(
@@ -401,9 +402,10 @@ def early_stops(spark, d):
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 )
 def learning_rates(spark, d):
-    marked = R.mark_improvements(_epochs(spark, d), "conv_id", "turn", "score")
-    first = R.learning_rates(marked, "conv_id", 0.1).withColumnRenamed("rate", "decayed")
-    both = R.learning_rates(first, "conv_id", 0.1, R.DROP, 1, exactly=True).withColumnRenamed("rate", "dropped")
+    marked = checkpointed(R.mark_improvements(_epochs(spark, d), "conv_id", "turn", "score"))
+    first = R.learning_rates(marked, "conv_id", "turn", 0.1).withColumnRenamed("rate", "decayed")
+    second = R.learning_rates(marked, "conv_id", "turn", 0.1, R.DROP, 1, exactly=True).withColumnRenamed("rate", "dropped")
+    both = first.join(second.select("conv_id", "turn", "dropped"), ["conv_id", "turn"])
     return _rounded(both.select("conv_id", "turn", "decayed", "dropped"), ["decayed", "dropped"], 9)
 
 

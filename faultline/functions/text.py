@@ -34,6 +34,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unfold(array: ColumnOrName) -> Column:
+    """Rows of an array. A bare explode of a computed array makes the optimizer test its size first, which
+    computes the array twice; behind a transform it is computed once."""
+    return F.explode(F.transform(array, lambda x: x))
+
+
+def unfold_numbered(array: ColumnOrName, position: str, value: str) -> Column:
+    """Rows of an array with their 0-based position, computed once as in ``unfold``."""
+    return F.inline(F.transform(array, lambda x, i: F.struct(i.alias(position), x.alias(value))))
+
+
 def code_lines(c: ColumnOrName) -> Column:
     """Lines of a text as an array; a final newline does not start another line, empty text has none."""
     return let(

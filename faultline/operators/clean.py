@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import line_count
+from faultline.functions.text import code_lines, line_count, unfold_numbered
 
 # Fixed value: functions with more lines than this are left out.
 MAX_LINES = 200
@@ -117,8 +117,6 @@ def union_partial(*parts: DataFrame) -> DataFrame:
 
 def explode_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per source line: key, 1-based line number, stripped text."""
-    from faultline.functions.text import code_lines
-
-    lines = df.select(key, F.posexplode(code_lines(text)).alias("pos", "raw"))
+    lines = df.select(key, unfold_numbered(code_lines(text), "pos", "raw"))
     stripped = F.regexp_replace("raw", r"^\s+|\s+$", "")
     return lines.select(key, (F.col("pos") + 1).alias("line_no"), stripped.alias("line"))

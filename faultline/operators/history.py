@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.contexts import extract_code
-from faultline.functions.text import base_name, function_name, signature_key, strip_blanks
+from faultline.functions.text import base_name, function_name, signature_key, strip_blanks, unfold
 from faultline.operators.ranking import running_max
 
 LINE = ["project", "file", "line_key"]
@@ -82,7 +82,7 @@ def match_methods(fixes: DataFrame, candidates: DataFrame, methods: DataFrame) -
 
     by_signature = best(asked.join(offered.drop("name"), ["commit", "base", "signature"]), 1)
     open_fixes = asked.join(by_signature.select("fix_id"), "fix_id", "left_anti")
-    named = offered.drop("signature").withColumn("piece", F.explode(_keys(F.col("name"))))
+    named = offered.drop("signature").withColumn("piece", unfold(_keys(F.col("name"))))
     probe = open_fixes.withColumn("piece", F.substring("function", 1, 3))
     by_name = best(
         probe.join(named, ["commit", "base", "piece"]).filter(F.contains(F.col("name"), F.col("function"))), 2

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.cluster import checkpointed
 from faultline.operators.ranking import md5_bucket, quantile_bucket, row_index, running_sum
 from faultline.operators.splits import shuffle_key
 
@@ -43,7 +44,7 @@ def mann_whitney(
     counts = df.groupBy(*group, F.col(value).cast("double").alias("v")).agg(
         F.sum(is_a.cast("bigint")).alias("a"), F.sum((~is_a).cast("bigint")).alias("b")
     )
-    counts = counts.withColumn("t", F.col("a") + F.col("b"))
+    counts = checkpointed(counts.withColumn("t", F.col("a") + F.col("b")))  # distinct values only, read three times
     ranked = running_sum(counts, F.col("t"), "upto", [F.col("v")], quantile_bucket(counts, "v"), group)
     rank = _mean_rank(F.col("upto") - F.col("t"), F.col("t"))
     t = F.col("t").cast("double")
@@ -93,6 +94,7 @@ def wilcoxon(pairs: DataFrame, group: Sequence[str], a: str = "a", b: str = "b",
     counts = diff.groupBy(*group, F.abs("d").alias("v")).agg(
         F.count(F.lit(1)).alias("t"), F.sum((F.col("d") > 0).cast("bigint")).alias("up")
     )
+    counts = checkpointed(counts)
     ranked = running_sum(counts, F.col("t"), "upto", [F.col("v")], quantile_bucket(counts, "v"), group)
     rank = _mean_rank(F.col("upto") - F.col("t"), F.col("t"))
     t = F.col("t").cast("double")

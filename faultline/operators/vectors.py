@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.functions.text import unfold
 from faultline.operators.vocab import fits_dictionary
 
 # Fixed values of the word vector training.
@@ -50,7 +51,7 @@ def document_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, s
     Words are counted per text first, so a word enters a mean once with its count as weight. The vector table is
     broadcast only within the dictionary limit; every task then sums up whole texts before the shuffle.
     """
-    counted = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = df.select(key, unfold(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     side = vectors.select("term", array_to_vector(F.col("vec").cast("array<double>")).alias("__v"))
     known = counted.join(F.broadcast(side) if fits_dictionary(side.select("term")) else side, "term")
     means = known.groupBy(key).agg(Summarizer.mean(F.col("__v"), F.col("tf").cast("double")).alias("__m"))

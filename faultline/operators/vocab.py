@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.cluster import DICTIONARY_ROWS, checkpointed
-from faultline.functions.text import tokenize_code
+from faultline.functions.text import tokenize_code, unfold, unfold_numbered
 from faultline.operators.ranking import row_index
 
 # Special ids, lengths and caps of the two model families, and of the word counts.
@@ -36,7 +36,7 @@ def fit_vocabulary(
     Counting is pre-aggregated per task, and only ``max_vocab - reserved`` rows survive the top-n, so the
     row numbers below run over a bounded table.
     """
-    words = train.select(F.col(key).alias("__key"), F.posexplode(tokens).alias("__pos", "token"))
+    words = train.select(F.col(key).alias("__key"), unfold_numbered(tokens, "__pos", "token"))
     counted = words.groupBy("token").agg(
         F.count(F.lit(1)).alias("freq"), F.min(F.struct("__key", "__pos")).alias("__first")
     )
@@ -114,7 +114,7 @@ def encode_joined(df: DataFrame, tokens: str, vocabulary: DataFrame, out: str, u
 
     The join runs on distinct (row, token) pairs, so a token that is everywhere counts once per row.
     """
-    words = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+    words = df.select(key, unfold(F.array_distinct(tokens)).alias("token"))
     known = words.join(vocabulary.select("token", "id"), "token")
     per_row = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("__ids"))
     joined = df.join(per_row, key, "left")
@@ -198,7 +198,7 @@ def fit_terms(train: DataFrame, tokens: str, max_features: int = MAX_FEATURES) -
 
     Ties at the cap go to the alphabetically first term.
     """
-    counted = train.select(F.explode(tokens).alias("term")).groupBy("term").count()
+    counted = train.select(unfold(tokens).alias("term")).groupBy("term").count()
     top = counted.orderBy(F.col("count").desc(), "term").limit(max_features).select("term")
     return index_terms(top)
 
@@ -214,7 +214,7 @@ def term_counts(df: DataFrame, key: str, tokens: str, terms: DataFrame, max_term
     side = terms.select("term", "idx")
     if max_terms <= DICTIONARY_ROWS:
         side = F.broadcast(side)
-    words = df.select(key, F.explode(tokens).alias("term"))
+    words = df.select(key, unfold(tokens).alias("term"))
     return words.join(side, "term").groupBy(key, "idx").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -249,7 +249,7 @@ def fit_char_grams(
     train: DataFrame, text: str, low: int = CHAR_GRAM_RANGE[0], high: int = CHAR_GRAM_RANGE[1], min_df: int = CHAR_MIN_DF
 ) -> DataFrame:
     """(term, df): grams that occur in at least ``min_df`` texts; each text counts once per gram."""
-    grams = train.select(F.explode(F.array_distinct(char_grams(F.col(text), low, high))).alias("term"))
+    grams = train.select(unfold(F.array_distinct(char_grams(F.col(text), low, high))).alias("term"))
     return grams.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
 
 
@@ -272,7 +272,7 @@ def char_counts(
     is joined after counting, when every gram of a text is down to one row.
     """
     side = terms.select("term", "idx")
-    grams = df.select(key, F.explode(char_grams(F.col(text), low, high)).alias("term"))
+    grams = df.select(key, unfold(char_grams(F.col(text), low, high)).alias("term"))
     if fits_dictionary(side):
         return grams.join(F.broadcast(side), "term").groupBy(key, "idx").agg(F.count(F.lit(1)).alias("tf"))
     counted = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from faultline.cluster import checkpointed
 from faultline.functions.text import TOKEN_PATTERN, clean_code, tokenize_code
 from faultline.operators import clean, splits, vocab
 from faultline.operators.ranking import md5_bucket, quantile_bucket
@@ -287,7 +288,8 @@ def token_coverage(spark, d):
     docs = table(spark, d, "documents").select("doc_id", clean_code("text").alias("code"))
     unique = clean.drop_all_duplicates(docs, "code", "doc_id")
     ready = splits.assign_split(clean.drop_long_functions(unique, "code"), "doc_id")
-    tokens = ready.select("doc_id", "partition", tokenize_code("code").alias("tokens"))
+    # read by the vocabulary and again by the encoder
+    tokens = checkpointed(ready.select("doc_id", "partition", tokenize_code("code").alias("tokens")))
     train = clean.partition_rows(tokens, "train")
     words = vocab.fit_vocabulary(train, "doc_id", "tokens", max_vocab=1000)
     ids = vocab.encode(tokens, "tokens", words, "ids", unknown=1)

@@ -109,15 +109,15 @@ def attention_masks(spark, d):
 _GRAM_SQL = f"""WITH {_IDS_SQL}, placed AS (SELECT doc_id, unnest(ids)::hugeint AS id, unnest(range(len(ids))) AS p FROM ids),
   shifted AS (SELECT doc_id, p, coalesce(lag(id, 1) OVER w, 0) AS t1, coalesce(lag(id, 2) OVER w, 0) AS t2 FROM placed
     WINDOW w AS (PARTITION BY doc_id ORDER BY p))
-  SELECT doc_id, string_agg((t1 * 14918087 % 250499)::varchar, ' ' ORDER BY p) AS bigrams,
-    string_agg(((t2 * 14918087 * 18408749 + t1 * 14918087) % 250499)::varchar, ' ' ORDER BY p) AS trigrams
-  FROM shifted GROUP BY doc_id"""
+  SELECT d.doc_id, coalesce(string_agg((t1 * 14918087 % 250499)::varchar, ' ' ORDER BY p), '') AS bigrams,
+    coalesce(string_agg(((t2 * 14918087 * 18408749 + t1 * 14918087) % 250499)::varchar, ' ' ORDER BY p), '') AS trigrams
+  FROM docs d LEFT JOIN shifted s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
 
 
 @query("hashed_ngrams", _GRAM_SQL)
 def hashed_ngrams(spark, d):
     docs = _docs(spark, d)
-    ids = vocab.encode(docs, "tokens", _vocabulary(docs), "ids", unknown=1).filter(F.size("ids") > 0)
+    ids = vocab.encode(docs, "tokens", _vocabulary(docs), "ids", unknown=1)
     grams = ids.select(
         "doc_id",
         vocab.hashed_bigrams(F.col("ids")).alias("bigrams"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.text import unfold
+
 # File name endings and node properties; only the last property may be absent from a file.
 NODES_SUFFIX, EDGES_SUFFIX, CODE_SUFFIX = ".c.nodes.json", ".c.edges.json", ".c"
 REQUIRED = ("id", "_label", "name", "code", "lineNumber")
@@ -35,7 +37,7 @@ def parse_graphs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reason = F.when(F.coalesce(unreadable, F.lit(True)), "unreadable").when(lacking, "missing column")
     judged = parsed.withColumn("reason", reason)
     good = judged.filter("reason IS NULL")
-    records = good.select("graph_id", F.explode("n").alias("r"))
+    records = good.select("graph_id", unfold("n").alias("r"))
     get = lambda key: F.try_element_at("r", F.lit(key))
     nodes = records.select(
         "graph_id",
@@ -46,7 +48,7 @@ def parse_graphs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         get("lineNumber").try_cast("int").alias("line"),
         F.coalesce(get(OPTIONAL[0]), F.lit("")).alias("control_structure_type"),
     )
-    quads = good.select("graph_id", F.explode("e").alias("t"))
+    quads = good.select("graph_id", unfold("e").alias("t"))
     edges = quads.select(
         "graph_id",
         F.get("t", F.lit(0)).alias("innode"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,58 @@ from faultline.operators.splits import shuffle_key
 ALTERNATIVES = ("two-sided", "less", "greater", "compat")
 
 
+# Sample sizes up to which p-values are exact (without ties).
+EXACT_RANK_SUM = 8
+EXACT_SIGNED_RANK = 25
+EXACT_CELLS = 1_000_000
+
+
+def normal_tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2.0))
+
+
+def rank_sum_tail(n1: int, n2: int, u: float) -> float:
+    """P(U >= u) without ties: counts of U are the coefficients of a Gaussian binomial."""
+    small, large = sorted((n1, n2))
+    counts = np.zeros(n1 * n2 + 1)
+    counts[0] = 1.0
+    for i in range(1, small + 1):
+        top = large + i
+        counts[top:] -= counts[:-top].copy() if top < len(counts) else 0.0
+        for start in range(i):
+            counts[start::i] = np.cumsum(counts[start::i])
+    return float(counts[math.ceil(u) :].sum() / counts.sum())
+
+
+def signed_rank_two_sided(n: int, w: float) -> float:
+    """Two-sided probability of a smaller rank sum at or below ``w`` without ties."""
+    counts = np.zeros(n * (n + 1) // 2 + 1)
+    counts[0] = 1.0
+    for rank in range(1, n + 1):
+        counts[rank:] += counts[:-rank].copy()
+    return float(min(1.0, 2.0 * counts[: int(w) + 1].sum() / counts.sum()))
+
+
+@F.pandas_udf(T.DoubleType())
+def _rank_sum_p(n1: pd.Series, n2: pd.Series, u: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
+    def p(a, b, stat, score, ties):
+        if stat is None or math.isnan(stat) or not a or not b:
+            return None
+        if not ties and min(a, b) <= EXACT_RANK_SUM and a * b <= EXACT_CELLS:
+            return rank_sum_tail(int(a), int(b), stat)
+        return None if score is None or math.isnan(score) else normal_tail(score)
+
+    return pd.Series([p(*row) for row in zip(n1, n2, u, z, tied)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
-def _upper_tail(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
+def _signed_rank_p(n: pd.Series, w: pd.Series, z: pd.Series, exact: pd.Series) -> pd.Series:
+    def p(count, stat, score, use_exact):
+        if use_exact and count <= EXACT_SIGNED_RANK:
+            return signed_rank_two_sided(int(count), stat)
+        return None if score is None or math.isnan(score) else 2.0 * normal_tail(abs(score))
+
+    return pd.Series([p(*row) for row in zip(n, w, z, exact)], dtype="float64")
 
 
 def _mean_rank(first: Column, count: Column) -> Column:
@@ -34,7 +84,9 @@ def _mean_rank(first: Column, count: Column) -> Column:
 def mann_whitney(
     df: DataFrame, group: Sequence[str], side: str, value: str, alternative: str = "two-sided", with_p: bool = True
 ) -> DataFrame:
-    """(group, n1, n2, u1, z, p): rank sum test with tie and continuity correction, normal approximation.
+    """(group, n1, n2, u1, z, p): rank sum test with tie and continuity correction.
+
+    p is exact for small samples without ties, otherwise from the normal approximation.
 
     ``compat`` picks 'greater' when the first mean is smaller and 'less' otherwise, against the data.
     """
@@ -69,11 +121,13 @@ def mann_whitney(
         "compat": F.when(F.col("mean1") < F.col("mean2"), greater).otherwise(less),
     }[alternative]
     z = F.when(sd > 0, (chosen - n1 * n2 / 2 - 0.5) / sd)
-    result = sums.select(*group, "n1", "n2", u1.alias("u1"), z.alias("z"))
+    columns = [*group, "n1", "n2", u1.alias("u1"), z.alias("z")]
     if not with_p:
-        return result
+        return sums.select(*columns)
     tails = 2.0 if alternative == "two-sided" else 1.0
-    return result.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), _upper_tail("z") * tails)))
+    wide = sums.select(*columns, chosen.alias("__u"), (F.col("ties") > 0).alias("__tied"))
+    p = _rank_sum_p("n1", "n2", "__u", "z", "__tied") * tails
+    return wide.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).drop("__u", "__tied")
 
 
 def paired_sample(df: DataFrame, group: Sequence[str], side: str, key: str, value: str, seed: int = 42) -> DataFrame:
@@ -89,12 +143,17 @@ def paired_sample(df: DataFrame, group: Sequence[str], side: str, key: str, valu
 
 
 def wilcoxon(pairs: DataFrame, group: Sequence[str], a: str = "a", b: str = "b", with_p: bool = True) -> DataFrame:
-    """(group, n, w, z, p): signed-rank test, zero differences dropped, normal approximation with ties."""
-    diff = pairs.select(*group, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).filter("d <> 0")
+    """(group, n, w, z, p): two-sided signed-rank test, zero differences dropped.
+
+    p is exact for up to 25 differences without zeros and ties, otherwise from the normal approximation.
+    """
+    diff = pairs.select(*group, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
     counts = diff.groupBy(*group, F.abs("d").alias("v")).agg(
         F.count(F.lit(1)).alias("t"), F.sum((F.col("d") > 0).cast("bigint")).alias("up")
     )
-    counts = checkpointed(counts)
+    zeros = counts.filter("v = 0").select(*group, F.lit(1).alias("__zero"))
+    counts = counts.filter("v > 0")
+    counts, zeros = checkpointed(counts), checkpointed(zeros)
     ranked = running_sum(counts, F.col("t"), "upto", [F.col("v")], quantile_bucket(counts, "v"), group)
     rank = _mean_rank(F.col("upto") - F.col("t"), F.col("t"))
     t = F.col("t").cast("double")
@@ -105,8 +164,14 @@ def wilcoxon(pairs: DataFrame, group: Sequence[str], a: str = "a", b: str = "b",
     whole = n * (n + 1) / 2
     w = F.least(F.col("plus"), whole - F.col("plus"))
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    result = sums.select(*group, "n", w.alias("w"), F.when(sd > 0, (w - whole / 2) / sd).alias("z"))
-    return result.withColumn("p", 2 * _upper_tail(F.abs("z"))) if with_p else result
+    columns = [*group, "n", w.alias("w"), F.when(sd > 0, (w - whole / 2) / sd).alias("z")]
+    if not with_p:
+        return sums.select(*columns)
+    marked = sums.select(*columns, "ties").join(zeros, list(group), "left") if group else sums.select(*columns, "ties").withColumn(
+        "__zero", zeros.agg(F.max("__zero")).scalar()
+    )
+    exact = (F.col("ties") == 0) & F.col("__zero").isNull()
+    return marked.withColumn("p", _signed_rank_p("n", "w", "z", exact)).drop("ties", "__zero")
 
 
 def cohen_d(df: DataFrame, group: Sequence[str], side: str, value: str) -> DataFrame:

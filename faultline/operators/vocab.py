@@ -114,9 +114,11 @@ def encode_joined(df: DataFrame, tokens: str, vocabulary: DataFrame, out: str, u
 
     The join runs on distinct (row, token) pairs, so a token that is everywhere counts once per row.
     """
-    words = df.select(key, unfold(F.array_distinct(tokens)).alias("token"))
-    known = words.join(vocabulary.select("token", "id"), "token")
-    per_row = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("__ids"))
+    words = df.select(key, unfold(F.array_distinct(tokens)).alias("__token"))
+    side = vocabulary.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
+    per_row = words.join(side, "__token").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("__token", "__id"))).alias("__ids")
+    )
     joined = df.join(per_row, key, "left")
     ids = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("__ids", t), F.lit(unknown)))
     return joined.withColumn(out, ids).drop("__ids")

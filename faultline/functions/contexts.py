@@ -20,9 +20,15 @@ def _as_int(numbers: Column) -> Column:
     return F.transform(F.coalesce(numbers, _empty()), lambda n: n.cast("int"))
 
 
-def pick_lines(lines: Column, numbers: Column) -> Column:
-    """Listed 1-based lines in list order, as an array; numbers outside the text are skipped."""
-    inside = F.filter(_as_int(numbers), lambda n: (n >= 1) & (n <= F.size(lines)))
+def pick_lines(lines: Column, numbers: Column, wrap_zero: bool = False) -> Column:
+    """Listed 1-based lines in list order, as an array; numbers outside the text are skipped.
+
+    ``wrap_zero`` reads the last line for number 0, which goes with the ``compat`` surroundings.
+    """
+    wanted = _as_int(numbers)
+    if wrap_zero:
+        wanted = F.transform(wanted, lambda n: F.when(n == 0, F.size(lines)).otherwise(n))
+    inside = F.filter(wanted, lambda n: (n >= 1) & (n <= F.size(lines)))
     return F.transform(inside, lambda n: F.get(lines, n - 1))
 
 
@@ -91,9 +97,9 @@ def random_line_numbers(key: Column, code: Column, numbers: Column) -> Column:
     return let(other_line_numbers(code, numbers), choose)
 
 
-def scope_text(code: Column, numbers: Column) -> Column:
+def scope_text(code: Column, numbers: Column, wrap_zero: bool = False) -> Column:
     """Listed lines with per-line comments cut."""
-    return let(code_lines(code), lambda lines: filter_lines(pick_lines(lines, numbers)))
+    return let(code_lines(code), lambda lines: filter_lines(pick_lines(lines, numbers, wrap_zero)))
 
 
 def whole_text(code: Column) -> Column:

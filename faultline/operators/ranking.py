@@ -28,10 +28,15 @@ def quantile_bucket(df: DataFrame, order: str, slices: int = 64) -> Column:
     """
     points = [i / slices for i in range(1, slices)]
     cuts = df.agg(F.percentile_approx(F.col(order), points, 10_000).alias("c")).first()["c"]
-    bounds = F.lit(sorted(set(cuts or [])))
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(bounds, lambda b: b <= F.col(order)))
+    bounds = sorted(set(cuts or []))
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(order) < bounds[middle], search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(bounds))
 
 
 def _carried(df: DataFrame, group: Sequence[str], bucket: Column, total: Column, combine) -> DataFrame:

@@ -9,6 +9,7 @@ from faultline.operators import clean, labels, models, parallel, splits, vectors
 from faultline.operators import history as H
 from faultline.operators.ranking import quantile_bucket
 from faultline.plans import baseline, dataset
+from faultline.plans import history as history_plan
 from faultline.sources import html, tables
 from faultline.streaming import texts
 
@@ -274,6 +275,8 @@ def test_blame_and_match(spark):
     files = spark.createDataFrame([("c2", "a/x.c", "l1\nl2\nl3", "n1\nn2"), ("c4", "y.c", "q", "r")], "commit string, file string, source_before string, source_after string")
     rows = {r["fix_id"]: tuple(r)[1:] for r in H.introducing_functions(fixes, found, methods, files).collect()}
     assert rows == {1: ("c2", "l2\nl3", "n1\nn2"), 2: ("c4", "q", "r")}
+    plan = history_plan.blame_fixes(fixes, deleted, lines, methods, files, bucket)
+    assert sorted(r["id"] for r in plan.collect()) == [1, 2]
     tiers = {r["fix_id"]: r["tier"] for r in H.match_methods(fixes, found, methods).collect()}
     assert tiers == {1: 1, 2: 2}
 

@@ -97,7 +97,9 @@ def test_contexts(spark):
         C.surrounding_only_line_numbers(code, nums, 6).alias("o"),
         C.extract_code(code, F.lit(None).cast("array<int>")).alias("none"),
         C.random_line_numbers(F.lit(1), code, nums).alias("r"),
+        C.scope_text(code, F.lit([0, 1]), wrap_zero=True).alias("w"),
     ).first()
+    assert row["w"] == "j\na"
     assert row["s"] == list(range(1, 9))
     assert row["q"] == list(range(0, 9))
     assert row["o"] == [1, 3, 4, 5, 6, 7, 8]

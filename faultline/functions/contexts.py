@@ -1,4 +1,8 @@
-"""Line-number contexts around listed lines, computed inside the row."""
+"""Line-number contexts around listed lines, computed inside the row.
+
+Inputs enter every lambda through ``let``: the optimizer may replace a captured column by the expression behind
+it, which would then be computed again for every array element.
+"""
 
 from __future__ import annotations
 
@@ -25,16 +29,20 @@ def pick_lines(lines: Column, numbers: Column, wrap_zero: bool = False) -> Colum
 
     ``wrap_zero`` reads the last line for number 0, which goes with the ``compat`` surroundings.
     """
-    wanted = _as_int(numbers)
-    if wrap_zero:
-        wanted = F.transform(wanted, lambda n: F.when(n == 0, F.size(lines)).otherwise(n))
-    inside = F.filter(wanted, lambda n: (n >= 1) & (n <= F.size(lines)))
-    return F.transform(inside, lambda n: F.get(lines, n - 1))
+
+    def pick(v: Column) -> Column:
+        wanted = v["nums"]
+        if wrap_zero:
+            wanted = F.transform(wanted, lambda n: F.when(n == 0, F.size(v["lines"])).otherwise(n))
+        inside = F.filter(wanted, lambda n: (n >= 1) & (n <= F.size(v["lines"])))
+        return F.transform(inside, lambda n: F.get(v["lines"], n - 1))
+
+    return let(F.struct(lines.alias("lines"), _as_int(numbers).alias("nums")), pick)
 
 
 def extract_code(code: Column, numbers: Column) -> Column:
     """Listed lines joined by newlines; a missing list gives an empty text."""
-    return let(code_lines(code), lambda lines: F.array_join(pick_lines(lines, numbers), "\n"))
+    return F.array_join(pick_lines(code_lines(code), numbers), "\n")
 
 
 def all_line_numbers(code: Column) -> Column:
@@ -61,9 +69,9 @@ def surrounding_line_numbers(
         raise ValueError(f"unknown mode {mode!r}")
     first, last_offset = (1, 0) if mode == "clamped" else (0, 1)
 
-    def around(n_lines: Column) -> Column:
+    def around(v: Column) -> Column:
+        n_lines, listed = v["n"], v["listed"]
         last = n_lines - last_offset
-        listed = _as_int(numbers)
         if mode == "clamped":
             listed = F.filter(listed, lambda n: (n >= 1) & (n <= n_lines))
 
@@ -74,7 +82,7 @@ def surrounding_line_numbers(
         spans = F.flatten(F.transform(listed, window))
         return F.array_sort(F.array_distinct(F.concat(listed, spans)))
 
-    return let(F.size(code_lines(code)), around)
+    return let(F.struct(F.size(code_lines(code)).alias("n"), _as_int(numbers).alias("listed")), around)
 
 
 def surrounding_only_line_numbers(code: Column, numbers: Column, k: int = SCOPE_LINES) -> Column:
@@ -84,22 +92,24 @@ def surrounding_only_line_numbers(code: Column, numbers: Column, k: int = SCOPE_
 def random_line_numbers(key: Column, code: Column, numbers: Column) -> Column:
     """As many unlisted lines as there are listed ones, in the order of md5(key:line)."""
 
-    def choose(rest: Column) -> Column:
+    def choose(v: Column) -> Column:
         keyed = F.transform(
-            rest,
+            v["rest"],
             lambda n: F.struct(
-                F.md5(F.concat_ws(":", key.cast("string"), n.cast("string")).cast("binary")).alias("h"), n.alias("n")
+                F.md5(F.concat_ws(":", v["key"], n.cast("string")).cast("binary")).alias("h"), n.alias("n")
             ),
         )
-        size = F.least(F.size(F.array_distinct(_as_int(numbers))), F.size(rest))
+        size = F.least(F.size(F.array_distinct(v["listed"])), F.size(v["rest"]))
         return F.transform(F.slice(F.array_sort(keyed), F.lit(1), size), lambda s: s["n"])
 
-    return let(other_line_numbers(code, numbers), choose)
+    rest = other_line_numbers(code, numbers)
+    values = F.struct(key.cast("string").alias("key"), rest.alias("rest"), _as_int(numbers).alias("listed"))
+    return let(values, choose)
 
 
 def scope_text(code: Column, numbers: Column, wrap_zero: bool = False) -> Column:
     """Listed lines with per-line comments cut."""
-    return let(code_lines(code), lambda lines: filter_lines(pick_lines(lines, numbers, wrap_zero)))
+    return filter_lines(pick_lines(code_lines(code), numbers, wrap_zero))
 
 
 def whole_text(code: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.cluster import DICTIONARY_ROWS, checkpointed
-from faultline.functions.text import tokenize_code, unfold, unfold_numbered
+from faultline.functions.text import let, tokenize_code, unfold, unfold_numbered
 from faultline.operators.ranking import row_index
 
 # Special ids, lengths and caps of the two model families, and of the word counts.
@@ -173,23 +173,29 @@ GRAM_PRIME_2 = 18_408_749
 def hashed_bigrams(ids: Column) -> Column:
     """Hash of the previous id at every position (0 before the first)."""
 
-    def at(_, i: Column) -> Column:
-        previous = F.coalesce(F.get(ids, i - 1), F.lit(0)).cast("bigint")
-        return F.pmod(previous * GRAM_PRIME_1, F.lit(GRAM_BUCKETS)).cast("int")
+    def hashes(a: Column) -> Column:
+        def at(_, i: Column) -> Column:
+            previous = F.coalesce(F.get(a, i - 1), F.lit(0)).cast("bigint")
+            return F.pmod(previous * GRAM_PRIME_1, F.lit(GRAM_BUCKETS)).cast("int")
 
-    return F.transform(ids, at)
+        return F.transform(a, at)
+
+    return let(ids, hashes)
 
 
 def hashed_trigrams(ids: Column) -> Column:
     """Hash of the two previous ids at every position; reduced step by step, so no id overflows BIGINT."""
 
-    def at(_, i: Column) -> Column:
-        one = F.coalesce(F.get(ids, i - 1), F.lit(0)).cast("bigint")
-        two = F.coalesce(F.get(ids, i - 2), F.lit(0)).cast("bigint")
-        far = F.pmod(two * GRAM_PRIME_1, F.lit(GRAM_BUCKETS)) * GRAM_PRIME_2
-        return F.pmod(far + F.pmod(one * GRAM_PRIME_1, F.lit(GRAM_BUCKETS)), F.lit(GRAM_BUCKETS)).cast("int")
+    def hashes(a: Column) -> Column:
+        def at(_, i: Column) -> Column:
+            one = F.coalesce(F.get(a, i - 1), F.lit(0)).cast("bigint")
+            two = F.coalesce(F.get(a, i - 2), F.lit(0)).cast("bigint")
+            far = F.pmod(two * GRAM_PRIME_1, F.lit(GRAM_BUCKETS)) * GRAM_PRIME_2
+            return F.pmod(far + F.pmod(one * GRAM_PRIME_1, F.lit(GRAM_BUCKETS)), F.lit(GRAM_BUCKETS)).cast("int")
+
+        return F.transform(a, at)
 
-    return F.transform(ids, at)
+    return let(ids, hashes)
 
 
 # --- term counts ---------------------------------------------------------------------------------

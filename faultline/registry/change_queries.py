@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from faultline.cluster import checkpointed
 from faultline.functions import contexts as C
 from faultline.functions.diff import lcs_length
 from faultline.functions.text import code_lines
@@ -34,12 +35,13 @@ _RANDOM = f"""list_transform(list_slice(list_sort(list_transform({_REST}, lambda
 
 
 def _pair(spark, d):
-    docs = documents_with_lines(spark, d)
-    lines, nums = code_lines("code"), F.col("nums")
-    kept = C.pick_lines(lines, C.other_line_numbers(F.col("code"), nums))
+    docs = documents_with_lines(spark, d).withColumn("lines", code_lines("code"))
+    lines = F.col("lines")
+    kept = C.pick_lines(lines, C.other_line_numbers(F.col("code"), F.col("nums")))
     after = F.concat(F.array_join(F.concat(kept, F.array(F.lit("/*marker*/"))), "\n"), F.lit("\n"))
     before = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
-    return docs.filter(F.size(lines) > 0).select("doc_id", before.alias("before"), after.alias("after"))
+    pairs = docs.filter(F.size(lines) > 0).select("doc_id", before.alias("before"), after.alias("after"))
+    return checkpointed(pairs)  # stands in for a stored function table
 
 
 @query(

@@ -151,9 +151,9 @@ def wilcoxon(pairs: DataFrame, group: Sequence[str], a: str = "a", b: str = "b",
     counts = diff.groupBy(*group, F.abs("d").alias("v")).agg(
         F.count(F.lit(1)).alias("t"), F.sum((F.col("d") > 0).cast("bigint")).alias("up")
     )
-    zeros = counts.filter("v = 0").select(*group, F.lit(1).alias("__zero"))
-    counts = counts.filter("v > 0")
-    counts, zeros = checkpointed(counts), checkpointed(zeros)
+    every = checkpointed(counts)  # distinct differences only, read four times
+    zeros = every.filter("v = 0").select(*group, F.lit(1).alias("__zero"))
+    counts = every.filter("v > 0")
     ranked = running_sum(counts, F.col("t"), "upto", [F.col("v")], quantile_bucket(counts, "v"), group)
     rank = _mean_rank(F.col("upto") - F.col("t"), F.col("t"))
     t = F.col("t").cast("double")

@@ -147,8 +147,10 @@ def encode_text(
 def decode(df: DataFrame, ids: str, vocabulary: DataFrame, out: str, pad_id: int, specials: Sequence[str]) -> DataFrame:
     """Tokens of an id sequence without padding; ``specials`` lists the reserved tokens by id.
 
-    Ids are dense, so an array indexed by id is the inverse dictionary; the vocabulary was capped when fitted.
+    Ids are dense, so an array indexed by id is the inverse dictionary.
     """
+    if not fits_dictionary(vocabulary):
+        raise ValueError("cap the vocabulary at the dictionary limit")
     listed = F.array_sort(F.collect_list(F.struct("id", "token")))
     text = vocabulary.agg(F.to_json(F.transform(listed, lambda w: w["token"])).alias("t")).first()["t"]
     by_id = F.concat(F.array(*[F.lit(s) for s in specials]), F.from_json(F.lit(text), "array<string>"))

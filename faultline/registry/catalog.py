@@ -26,13 +26,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Text tables, whose rows cost far more work than reading them.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+# Tables whose rows cost far more work than reading them.
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def sql_lines(text: str) -> str:

@@ -44,15 +44,15 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1, intermediate:
     """(graph_id, seed, hop, node): ends of walks of exactly ``hop`` undirected steps from each seed.
 
     Ends are made distinct after every step, so the number of walks never grows the data. ``seeds`` holds
-    (graph_id, seed). Beyond three steps each frontier is checkpointed to keep the plan short.
+    (graph_id, seed). With more than one step the pairs and each frontier are read again, so they are checkpointed.
     """
-    pairs = symmetric_pairs(edges)
+    pairs = checkpointed(symmetric_pairs(edges)) if hops > 1 else symmetric_pairs(edges)
     frontier = seeds.select("graph_id", "seed", F.col("seed").alias("node")).distinct()
     reached = []
     for hop in range(1, hops + 1):
         stepped = frontier.join(pairs.withColumnRenamed("a", "node"), ["graph_id", "node"])
         frontier = stepped.select("graph_id", "seed", F.col("b").alias("node")).distinct()
-        if hop > 3:
+        if hop < hops:
             frontier = checkpointed(frontier)
         if intermediate or hop == hops:
             reached.append(frontier.select("graph_id", "seed", F.lit(hop).alias("hop"), "node"))

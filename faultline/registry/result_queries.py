@@ -203,11 +203,11 @@ def _results(spark, d):
 
 @query(
     "averaged_repeats",
-    f"""WITH {_RESULT_SQL} SELECT problem, classifier, parameters, round(val_mcc, 6) AS val_mcc,
-      round(test_mcc, 6) AS test_mcc FROM results""",
+    f"""WITH {_RESULT_SQL} SELECT problem, classifier, parameters, round(val_mcc, 9) AS val_mcc,
+      round(test_mcc, 9) AS test_mcc FROM results""",
 )
 def averaged_repeats(spark, d):
-    return _rounded(_results(spark, d), ["val_mcc", "test_mcc"])
+    return _rounded(_results(spark, d), ["val_mcc", "test_mcc"], 9)
 
 
 @query(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, html, mixing, quality, secrets, simhash, tokens, warc
+from faultline.llm import decontaminate, html, mixing, neighbours, quality, secrets, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,6 +58,11 @@ def op6_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_sequences(tokens.write_sequences(table(spark, sf_dir, "documents"), tokenizer))
 
 
+@query("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -21,26 +21,41 @@ from faultline.llm.common import rows_of, shared_file, staged, text_bytes
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
 END_ID = 2
-# Words whose ids a worker keeps; beyond that it starts anew.
+# Words whose ids a worker keeps. Once it has them, other words are encoded each time; after RENEW of those it starts anew.
 KEPT_WORDS = 400_000
+RENEW = 2_000_000
 JOINED_WORDS = 512
+_SIGNS = b".,:;!?%&*#$|"
 
 _loaded: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts for tokenizers that drop white space, so that a text's ids are those of its words in turn.
+    """Ids of texts for tokenizers that lower-case and drop white space, so that a text's ids are those of its words in turn.
 
-    Words are cut at ASCII white space only. Unknown words are encoded many at a time, and their ids kept.
+    Words are cut at ASCII white space only, and signs at the end of a word, which the tokenizer never joins to letters,
+    are looked up apart from it. Words of Latin letters skip the tokenizer's normalizer and its search for word parts, as
+    nothing but lower case is left to do for them; all others, and texts with special tokens, go through it as they are.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.closes = np.zeros(size, dtype=bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.closes[number] = token.endswith("</w>")
         self.ids: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.passed = 0
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -48,23 +63,55 @@ class WordEncoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def learn(self, words: list[bytes]) -> None:
-        each = iter(words)
-        while part := [w.decode() for w in islice(each, JOINED_WORDS)]:
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            firsts = np.array([first for first, _ in encoded.offsets], dtype=np.int64)
-            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cuts = (np.searchsorted(firsts, begins) * self.dtype.itemsize).tolist()
-            data = np.array(encoded.ids, dtype=self.dtype).tobytes()
-            self.ids.update((w.encode(), data[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def learn_letters(self, stems: list[bytes]) -> None:
+        each = iter(stems)
+        while part := list(islice(each, JOINED_WORDS)):
+            text = b" ".join(part).decode().lower()
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = [0, *((np.flatnonzero(self.closes[ids]) + 1) * self.dtype.itemsize).tolist()]
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the tokenizer does not close every word")
+            data = ids.tobytes()
+            self.stems.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+
+    def learn(self, words: set[bytes]) -> None:
+        split, fresh = [], set()
+        for word in words:
+            stem = word.rstrip(_SIGNS)
+            text = stem.decode()
+            if text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text):
+                split.append((word, stem))
+                if stem not in self.stems:
+                    fresh.add(stem)
+            else:
+                self.ids[word] = self.whole(word)
+        self.learn_letters(list(fresh))
+        for word, stem in split:
+            signs = word[len(stem) :]
+            if signs not in self.stems:
+                self.stems[signs] = self.whole(signs)
+            self.ids[word] = self.stems[stem] + self.stems[signs]
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
+        if b"<|" in text:
+            return self.whole(text)
+        words = text.lower().split()
         if new := {w for w in words if w not in self.ids}:
-            self.learn(list(new))
-        return b"".join(map(self.ids.__getitem__, words))
+            self.learn(new)
+        encoded = b"".join(map(self.ids.__getitem__, words))
+        if len(self.ids) > KEPT_WORDS:
+            self.passed += len(new)
+            for word in new:
+                del self.ids[word]
+                self.stems.pop(word.rstrip(_SIGNS), None)
+            if self.passed > RENEW:
+                self.ids.clear()
+                self.stems.clear()
+                self.passed = 0
+        return encoded
 
 
 def schema(dtype: np.dtype, sequence: int) -> pa.Schema:

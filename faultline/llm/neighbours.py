@@ -86,7 +86,7 @@ def members(units: DataFrame) -> DataFrame:
     parts = units.groupBy("label").agg(F.ceil(F.count("*") / ASSIGN_ROWS).cast("int").alias("parts"))
     dealt = units.join(parts, "label").select("label", "rep", "unit", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
     copied = centres(units).join(parts, "label")
-    copied = copied.select("label", "centres", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long").alias("part"))
+    copied = copied.select("label", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
 
     def assign(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         rows = rows[["label", "rep", "unit"]]

@@ -50,7 +50,7 @@ def representatives(vectors: DataFrame, id_col: str, vector_col: str, label_col:
 
 
 def centres(units: DataFrame) -> DataFrame:
-    """(``label``, ``centres``): of each label with more vectors than a shard, as many as its shards need."""
+    """(``label``, ``centres``: doubles, one centre after the other) of each label with more vectors than a shard."""
     sizes = units.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS)
     draws = units.withColumn("draw", F.xxhash64("rep"))
     # About CENTRE_SAMPLE vectors of the smallest hashes: the share of the hash range that holds them.
@@ -70,10 +70,10 @@ def centres(units: DataFrame) -> DataFrame:
             np.add.at(sums, nearest, points)
             length = np.linalg.norm(sums, axis=1, keepdims=True)
             found = np.where(length > 0, sums / np.maximum(length, 1e-300), found)
-        return pd.DataFrame({"label": [rows["label"].iloc[0]], "centres": [found.tolist()]})
+        return pd.DataFrame({"label": [rows["label"].iloc[0]], "centres": [found.tobytes()]})
 
     kind = units.schema["label"].dataType.simpleString()
-    return sampled.groupBy("label").applyInPandas(cluster, f"label {kind}, centres array<array<double>>")
+    return sampled.groupBy("label").applyInPandas(cluster, f"label {kind}, centres binary")
 
 
 def members(units: DataFrame) -> DataFrame:
@@ -92,7 +92,8 @@ def members(units: DataFrame) -> DataFrame:
         rows = rows[["label", "rep", "unit"]]
         if not len(rows) or not len(found):
             return rows.assign(shard=0)
-        near = np.stack(rows["unit"].to_numpy()) @ np.stack([np.asarray(c) for c in found["centres"].iloc[0]]).T
+        points = np.stack(rows["unit"].to_numpy())
+        near = points @ np.frombuffer(found["centres"].iloc[0]).reshape(-1, points.shape[1]).T
         best = np.argsort(-near, axis=1, kind="stable")[:, :OVERLAP]
         return pd.concat([rows.assign(shard=best[:, k]) for k in range(best.shape[1])])
 

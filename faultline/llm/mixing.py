@@ -100,3 +100,24 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
         )
         .select("doc_id", "text_md5", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
     )
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """``docs`` (with ``doc_id``, ``text``, ``source``) as often as the mix takes them, all columns.
+
+    A document that the budget cuts counts as taken once more if at least half of its words are in. Documents without
+    words cost nothing and stay once.
+    """
+    mixed = mix(docs)
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(1)
+    wanted = mixed.select(F.col("doc_id").alias("mixed_id"), F.col("text_md5").alias("mixed_md5"), times.alias("times"))
+    # Rows that repeat id and text are one row here, taken as often as all of them.
+    wanted = wanted.groupBy("mixed_id", "mixed_md5").agg(F.sum("times").alias("times")).filter("times > 0")
+    named = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").cast("long").alias("row_id"),
+        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("row_md5"),
+    ).dropDuplicates(["row_id", "row_md5"])
+    taken = named.join(wanted, F.expr("row_id <=> mixed_id AND row_md5 = mixed_md5"))
+    copies = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
+    return copies.select("row.*")

@@ -31,9 +31,11 @@ def shared_file(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples."""
+    """Rows of Arrow batches as tuples, a few rows copied at a time."""
     for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
 
 def components(links: DataFrame) -> DataFrame:

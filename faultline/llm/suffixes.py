@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import rows_of, staged, text_bytes
 
 WINDOW = 400
-# Bytes of the string that a window is filed under.
-GRAM = 64
+# Bytes of the string that a window is filed under. Passages of a file that is too large for one task are filed again by
+# the next, longer string; at the last a file holds equal windows only.
+GRAMS = (64, 232, 358, 390, WINDOW)
 # Windows cut at a time from a long text, and in one passage.
 CHUNK = 1 << 19
 PASSAGE_WINDOWS = 4096
 # Bytes of passages whose suffixes are sorted together.
-SORT_BYTES = 1 << 20
-# Files of more different passages are counted window by window, as they need not fit one task.
+SORT_BYTES = 1 << 19
+# Different passages of a file that is sorted in one task.
 FILE_PASSAGES = 256
 
 _WORD = 8
@@ -51,16 +52,16 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
     return _mixed((sums[width:] - sums[:-width]) * np.cumprod(back))
 
 
-def passages(text: bytes) -> Iterator[tuple[int, int, int, int]]:
+def passages(text: bytes, gram: int = GRAMS[0]) -> Iterator[tuple[int, int, int, int]]:
     """Cut all windows of a text into passages: (file, first window, windows, strings that named the file).
 
-    A window is filed under the string of GRAM bytes in it with the smallest hash, the first of equals. So equal windows
+    A window is filed under the string of ``gram`` bytes in it with the smallest hash, the first of equals. So equal windows
     are in the same file, wherever they stand, and each window is in one passage: neighbours with the same file.
     """
-    reach = WINDOW - GRAM + 1
+    reach = WINDOW - gram + 1
     for at in range(0, len(text) - WINDOW + 1, CHUNK):
         data = np.frombuffer(text, dtype=np.uint8, offset=at, count=min(len(text) - at, CHUNK + WINDOW - 1))
-        grams = rolling(data, GRAM)
+        grams = rolling(data, gram)
         least = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
         span = 1
         while span * 2 <= reach:
@@ -181,18 +182,32 @@ def suffix_array(data: np.ndarray, words: np.ndarray, window: np.ndarray) -> np.
     return order
 
 
-def common_prefixes(order: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Whether a suffix and the one before it in ``order`` share WINDOW bytes, compared eight by eight."""
-    shared = np.zeros(len(order), dtype=bool)
-    alive = np.arange(1, len(order))
+def common_prefixes(order: np.ndarray, data: np.ndarray, words: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Whether a suffix and the one before it in ``order`` share WINDOW bytes.
+
+    Hashes tell which can. Where the pair one position earlier in the text shares as many bytes, one more byte decides;
+    the others are compared eight bytes at a time.
+    """
+    n = len(data)
+    shared = np.zeros(n, dtype=bool)
+    alive = np.flatnonzero(window[order[1:]] == window[order[:-1]]) + 1
+    alive = alive[np.maximum(order[alive], order[alive - 1]) + WINDOW <= n]
+    before = np.full(n + 1, -1, dtype=np.int64)  # by text position, shifted by one
+    before[order[alive] + 1] = order[alive - 1]
+    own, other = order[alive], order[alive - 1]
+    follows = (before[own] >= 0) & (before[own] + 1 == other)
+    good = np.ones(len(alive), dtype=bool)
+    good[follows] = data[own[follows] + WINDOW - 1] == data[other[follows] + WINDOW - 1]
+    heads = np.flatnonzero(~follows)
     for depth in range(0, WINDOW, _WORD):
-        a, b = order[alive] + depth, order[alive - 1] + depth
-        inside = (a < len(words)) & (b < len(words))
-        alive = alive[inside]
-        alive = alive[words[a[inside]] == words[b[inside]]]
-        if not len(alive):
-            break
-    shared[alive] = True
+        same = words[own[heads] + depth] == words[other[heads] + depth]
+        good[heads[~same]] = False
+        heads = heads[same]
+    if not good.all():  # two different strings had one hash: nothing may rest on its neighbour
+        good[:] = True
+        for depth in range(0, WINDOW, _WORD):
+            good &= words[own + depth] == words[other + depth]
+    shared[alive[good]] = True
     return shared
 
 
@@ -207,7 +222,7 @@ def repeated_windows(bodies: list[bytes], counts: list[int], copies: list[int])
     words = words_at(data)
     window = np.concatenate((rolling(data, WINDOW), np.arange(WINDOW - 1, dtype=np.uint64)))[: len(data)]
     order = suffix_array(data, words, window)
-    run = np.cumsum(~common_prefixes(order, words)) - 1
+    run = np.cumsum(~common_prefixes(order, data, words, window)) - 1
     total = np.bincount(run, weights=weight[order])
     repeated = np.zeros(len(data), dtype=bool)
     repeated[order] = total[run] > 1
@@ -301,24 +316,61 @@ def _sorted_marks(bodies: DataFrame) -> DataFrame:
     return together.mapInArrow(run, f"file long, digest long, runs {_RUN_SQL}")
 
 
-def _counted_marks(bodies: DataFrame) -> DataFrame:
-    """The same for files of any size: every window's digest is counted over the corpus."""
+def _filed_again(bodies: DataFrame, gram: int) -> DataFrame:
+    """Passages of large files, cut and filed by a longer string: their part from window ``at`` on is (``file2``, ``digest2``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "digest", "copies", "at", "windows", "named", "file2", "digest2", "body"]
         for batch in batches:
-            for key, digest, count, copies, body in rows_of([batch]):
-                seen = [xxhash.xxh3_128_digest(body[k : k + WINDOW]) for k in range(count)]
-                columns = [pa.array([x] * count, pa.int64()) for x in (key, digest)]
-                columns += [pa.array(range(count), pa.int64()), pa.array([copies] * count, pa.int64()), pa.array(seen)]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "digest", "at", "copies", "window"])
-
-    windows = staged(
-        bodies.mapInArrow(run, "file long, digest long, at long, copies long, window binary"), "windows"
+            for at in range(0, batch.num_rows, 256):
+                found = []
+                for file, digest, _, copies, body in rows_of([batch.slice(at, 256)]):
+                    for key, start, count, named in passages(body, gram):
+                        part = body[start : start + count + WINDOW - 1]
+                        mark = xxhash.xxh3_64_intdigest(part) - (1 << 63)
+                        found.append((file, digest, copies, start, count, named * copies, key, mark, part))
+                kinds = [pa.int64()] * 8 + [pa.binary()]
+                columns = zip(*found, strict=True) if found else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
+                )
+
+    return bodies.mapInArrow(
+        run,
+        "file long, digest long, copies long, at long, windows long, named long, file2 long, digest2 long, body binary",
+    )
+
+
+def _shifted(by: str) -> Column:
+    return F.transform(
+        "runs", lambda r: F.struct((r["first"] + F.col(by)).alias("first"), (r["end"] + F.col(by)).alias("end"))
     )
-    often = windows.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
-    starts = windows.join(often, "window").groupBy("file", "digest")
-    spans = F.transform("at", lambda a: F.struct(a.alias("first"), (a + WINDOW).alias("end")))
-    return starts.agg(F.collect_list("at").alias("at")).select("file", "digest", spans.alias("runs"))
+
+
+def _marks(each: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], level: int = 0) -> DataFrame:
+    """(``file``, ``digest``, ``runs``) of the distinct passages ``each``, whose bytes ``bodies_of`` gives.
+
+    Files of few passages are sorted whole. The passages of others are filed again at the next level: most of them then
+    are alone in their file, as only the strings at the edges of a frequent passage differ, and go.
+    """
+    if level + 1 == len(GRAMS):
+        return _sorted_marks(bodies_of(each))
+    sizes = each.groupBy("file").agg(F.count("*").alias("n"))
+    large = staged(sizes.filter(F.col("n") > FILE_PASSAGES).select("file"), "large")
+    marks = _sorted_marks(bodies_of(each.join(large, "file", "left_anti")))
+    if large.isEmpty():
+        return marks
+    parts = staged(_filed_again(bodies_of(each.join(large, "file", "left_semi")), GRAMS[level + 1]), "parts")
+    shared = parts.groupBy("file2").agg(F.sum("named").alias("n")).filter("n > 1").select("file2")
+    links = parts.join(shared, "file2")
+    subs = links.groupBy(F.col("file2").alias("file"), F.col("digest2").alias("digest")).agg(
+        F.first("windows").alias("windows"), F.sum("copies").alias("copies"), F.first("body").alias("body")
+    )
+    found = _marks(
+        staged(subs, "subs"), lambda some: some.select("file", "digest", "windows", "copies", "body"), level + 1
+    ).select(F.col("file").alias("file2"), F.col("digest").alias("digest2"), "runs")
+    again = links.select("file", "digest", "at", "file2", "digest2").join(found, ["file2", "digest2"])
+    return marks.unionByName(again.select("file", "digest", _shifted("at").alias("runs")))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,7 +378,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Removes every byte of a string of WINDOW bytes that starts more than once anywhere in the corpus, judged on the
     input. Passages are filed so that equal windows meet; files with one entry are dropped, equal passages are counted as
-    one, and the suffixes of the rest are sorted. Missing and empty texts, and those below WINDOW bytes, stay whole.
+    one, and the suffixes of the rest are sorted file by file, whatever the number of passages in them. Missing and empty texts, and those below WINDOW bytes, stay whole.
     Repeated rows repeat each other. Rows without an id take part like others. No rows give none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
@@ -338,15 +390,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").alias("copies"), F.min(F.struct("doc", "tie", "start", "windows")).alias("home")
     )
     each = staged(each.select("file", "digest", "copies", "home.*"), "homes")
-    large = staged(
-        each.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") > FILE_PASSAGES).select("file"), "large"
-    )
-    marks = _sorted_marks(_bodies(rows, each.join(large, "file", "left_anti")))
-    if not large.isEmpty():
-        marks = marks.unionByName(_counted_marks(_bodies(rows, each.join(large, "file", "left_semi"))))
-    shift = lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["end"] + F.col("start")).alias("end"))
+    marks = _marks(each, lambda some: _bodies(rows, some))
     spans = found.select("file", "digest", "doc", "tie", "start").join(marks, ["file", "digest"])
-    spans = spans.select("doc", "tie", F.transform("runs", shift).alias("runs"))
+    spans = spans.select("doc", "tie", _shifted("start").alias("runs"))
     per_doc = spans.groupBy("doc", "tie").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

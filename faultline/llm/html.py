@@ -209,6 +209,8 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
             (0, f"<div>{_words(6)}</div>"),
         ],
         [(1, p(12)), (1, p(40, 5))],
+        [(1, p(40))],
+        [(0, f"<div>{_words(2)}</div><ul>{_links(2)}</ul>"), (1, p(65)), (0, f"<footer>{_words(5)}</footer>")],
         [(1, f"<article>{p(1)}</article>"), (0, f"<div>{_words(1)}</div><div>{_words(70)}</div>")],
     ]
     rows, labels = [], []

@@ -16,6 +16,8 @@ SEQUENCE_MODEL = {"pad": 0, "unknown": 1, "length": 1024}
 GRAPH_MODEL = {"pad": 1, "unknown": 0, "length": 128}
 MAX_VOCAB = 10_000
 MAX_FEATURES = 10_000
+# Most frequent entries of a joined vocabulary that every task gets, as they are in almost every text.
+FREQUENT = 1_000
 CHAR_GRAM_RANGE = (3, 6)
 CHAR_MIN_DF = 10
 
@@ -98,30 +100,35 @@ def encode(
 ) -> DataFrame:
     """Add the id sequence of a token array; tokens outside the vocabulary get ``unknown``.
 
-    A vocabulary up to the dictionary limit needs no shuffle of the texts. A larger one is joined token by
-    token, which needs ``key``.
+    A vocabulary up to the dictionary limit needs no shuffle of the texts. A larger one is joined token by token.
     """
     found = freeze(vocabulary)
     if found is not None:
         return df.withColumn(out, found.ids_of(F.col(tokens), unknown))
-    if key is None:
-        raise ValueError("a vocabulary beyond the dictionary limit needs the row key")
     return encode_joined(df, tokens, vocabulary, out, unknown, key)
 
 
-def encode_joined(df: DataFrame, tokens: str, vocabulary: DataFrame, out: str, unknown: int, key: str) -> DataFrame:
-    """The same ids through a shuffle join, for vocabularies of any size.
+def encode_joined(df: DataFrame, tokens: str, vocabulary: DataFrame, out: str, unknown: int, key: str | None = None) -> DataFrame:
+    """The same ids through a join, for vocabularies of any size.
 
-    The join runs on distinct (row, token) pairs, so a token that is everywhere counts once per row.
+    Different token arrays are encoded once and joined back by their digest. The join runs on distinct (array, token)
+    pairs; the FREQUENT first ids, which are in almost every text, are sent to the texts, the others are shuffled.
     """
-    words = df.select(key, unfold(F.array_distinct(tokens)).alias("__token"))
-    side = vocabulary.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
-    per_row = words.join(side, "__token").groupBy(key).agg(
+    keyed = df.withColumn("__key", F.col(key) if key else F.md5(F.to_json(tokens)))
+    texts = keyed.select("__key", tokens).dropDuplicates(["__key"])
+    words = texts.select("__key", unfold(F.array_distinct(tokens)).alias("__token"))
+    side = checkpointed(vocabulary.select(F.col("token").alias("__token"), F.col("id").alias("__id")))
+    often = side.orderBy("__id").limit(FREQUENT)
+    met = words.join(F.broadcast(often), "__token")
+    rare = words.join(F.broadcast(often.select("__token")), "__token", "left_anti").join(
+        side.join(often, "__token", "left_anti"), "__token"
+    )
+    per_row = met.unionByName(rare).groupBy("__key").agg(
         F.map_from_entries(F.collect_list(F.struct("__token", "__id"))).alias("__ids")
     )
-    joined = df.join(per_row, key, "left")
+    joined = keyed.join(per_row, "__key", "left")
     ids = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("__ids", t), F.lit(unknown)))
-    return joined.withColumn(out, ids).drop("__ids")
+    return joined.withColumn(out, ids).drop("__ids", "__key")
 
 
 def pad(ids: Column, length: int, pad_id: int) -> Column:
@@ -134,12 +141,18 @@ def encode_text(
 ) -> DataFrame:
     """Padded id sequences ``<column>_feature`` for several text columns, sharing one capped vocabulary."""
     found = freeze(vocabulary)
+
+    def words(column: str) -> Column:
+        return F.slice(tokenize_code(F.coalesce(F.col(column), F.lit(""))), 1, model["length"])
+
     if found is None:
-        raise ValueError("cap the vocabulary at the dictionary limit")
+        for c in columns:
+            df = encode_joined(df.withColumn("__words", words(c)), "__words", vocabulary, "__ids_of", model["unknown"])
+            df = df.withColumn(f"{c}_feature", pad(F.col("__ids_of"), model["length"], model["pad"])).drop("__words", "__ids_of")
+        return df
 
     def ids(column: str) -> Column:
-        tokens = F.slice(tokenize_code(F.coalesce(F.col(column), F.lit(""))), 1, model["length"])
-        return pad(found.ids_of(tokens, model["unknown"]), model["length"], model["pad"])
+        return pad(found.ids_of(words(column), model["unknown"]), model["length"], model["pad"])
 
     return df.withColumns({f"{c}_feature": ids(c) for c in columns})
 
@@ -150,7 +163,7 @@ def decode(df: DataFrame, ids: str, vocabulary: DataFrame, out: str, pad_id: int
     Ids are dense, so an array indexed by id is the inverse dictionary.
     """
     if not fits_dictionary(vocabulary):
-        raise ValueError("cap the vocabulary at the dictionary limit")
+        return decode_joined(df, ids, vocabulary, out, pad_id, specials)
     listed = F.array_sort(F.collect_list(F.struct("id", "token")))
     text = vocabulary.agg(F.to_json(F.transform(listed, lambda w: w["token"])).alias("t")).first()["t"]
     by_id = F.concat(F.array(*[F.lit(s) for s in specials]), F.from_json(F.lit(text), "array<string>"))
@@ -158,6 +171,24 @@ def decode(df: DataFrame, ids: str, vocabulary: DataFrame, out: str, pad_id: int
     return df.withColumn(out, F.transform(kept, lambda i: F.get(by_id, i)))
 
 
+def decode_joined(df: DataFrame, ids: str, vocabulary: DataFrame, out: str, pad_id: int, specials: Sequence[str]) -> DataFrame:
+    """The same tokens through a join, for vocabularies of any size; different id sequences are decoded once."""
+    keyed = df.withColumn("__key", F.md5(F.to_json(ids)))
+    texts = keyed.select("__key", F.filter(ids, lambda i: i != pad_id).alias("__kept")).dropDuplicates(["__key"])
+    listed = vocabulary.select(F.col("id").cast("int").alias("__id"), F.col("token").alias("__token"))
+    if specials:
+        fixed = df.sparkSession.createDataFrame(list(enumerate(specials)), "__id int, __token string")
+        listed = listed.unionByName(fixed)
+    each = texts.select("__key", unfold(F.array_distinct(F.col("__kept").cast("array<int>"))).alias("__id"))
+    per_text = each.join(listed, "__id").groupBy("__key").agg(
+        F.map_from_entries(F.collect_list(F.struct("__id", "__token"))).alias("__tokens")
+    )
+    joined = keyed.join(per_text, "__key", "left")
+    kept = F.filter(ids, lambda i: i != pad_id)
+    tokens = F.transform(kept, lambda i: F.try_element_at("__tokens", i.cast("int")))
+    return joined.withColumn(out, tokens).drop("__tokens", "__key")
+
+
 def vocabulary_size(vocabulary: DataFrame, reserved: int = 2) -> DataFrame:
     return vocabulary.agg((F.count(F.lit(1)) + reserved).alias("size"))
 
@@ -219,10 +250,10 @@ def index_terms(terms: DataFrame) -> DataFrame:
     return terms.select("term", (rank - 1).cast("int").alias("idx"))
 
 
-def term_counts(df: DataFrame, key: str, tokens: str, terms: DataFrame, max_terms: int = MAX_FEATURES) -> DataFrame:
+def term_counts(df: DataFrame, key: str, tokens: str, terms: DataFrame) -> DataFrame:
     """Sparse matrix in long form: (key, idx, tf). Terms outside the list go before the shuffle."""
-    side = terms.select("term", "idx")
-    if max_terms <= DICTIONARY_ROWS:
+    side = checkpointed(terms.select("term", "idx"))
+    if fits_dictionary(side):
         side = F.broadcast(side)
     words = df.select(key, unfold(tokens).alias("term"))
     return words.join(side, "term").groupBy(key, "idx").agg(F.count(F.lit(1)).alias("tf"))

@@ -270,7 +270,7 @@ _PREPARED_SQL = f"""cleaned AS (SELECT doc_id, {sql_clean('text')} AS code FROM
     words AS (SELECT doc_id, partition, t, p FROM (
         SELECT doc_id, partition, unnest(tokens) AS t, unnest(range(len(tokens))) AS p FROM prepared)),
     vocab AS (SELECT t FROM (SELECT t, count(*) AS n, min((doc_id, p)) AS first FROM words WHERE partition = 'train'
-        GROUP BY t) ORDER BY n DESC, first LIMIT 998)"""
+        GROUP BY t) ORDER BY n DESC, first LIMIT 9998)"""
 
 
 @query(
@@ -291,7 +291,7 @@ def token_coverage(spark, d):
     # read by the vocabulary and again by the encoder
     tokens = checkpointed(ready.select("doc_id", "partition", tokenize_code("code").alias("tokens")))
     train = clean.partition_rows(tokens, "train")
-    words = vocab.fit_vocabulary(train, "doc_id", "tokens", max_vocab=1000)
+    words = vocab.fit_vocabulary(train, "doc_id", "tokens")
     ids = vocab.encode(tokens, "tokens", words, "ids", unknown=1)
     sizes = ids.select("partition", F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i == 1)).alias("u"))
     return sizes.groupBy("partition").agg(

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.cluster import checkpointed
 from faultline.functions.text import TOKEN_PATTERN, tokenize_code
 from faultline.operators import parallel, splits, vectors, vocab
+from faultline.plans import baseline
 from faultline.registry.catalog import query, sql_quote, table
 from faultline.registry.clean_queries import sql_split
 
@@ -15,8 +17,8 @@ _DOCS_SQL = f"""docs AS (SELECT doc_id, text, {sql_split('doc_id')} AS partition
 _VOCAB_SQL = f"""{_DOCS_SQL},
   vocab AS (SELECT t, n, row_number() OVER (ORDER BY n DESC, first) + 1 AS id FROM (
     SELECT t, count(*) AS n, min((doc_id, p)) AS first FROM words WHERE partition = 'train' GROUP BY t)
-    ORDER BY n DESC, first LIMIT 4998)"""
-_CAP = 5000
+    ORDER BY n DESC, first LIMIT 9998)"""
+_CAP = 10000
 
 
 def _docs(spark, d):
@@ -129,12 +131,12 @@ def hashed_ngrams(spark, d):
 # --- counts ----------------------------------------------------------------------------------------
 
 _TERMS_SQL = f"""{_DOCS_SQL}, terms AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM (
-    SELECT t FROM words WHERE partition = 'train' GROUP BY t ORDER BY count(*) DESC, t LIMIT 3000))"""
+    SELECT t FROM words WHERE partition = 'train' GROUP BY t ORDER BY count(*) DESC, t LIMIT 10000))"""
 
 
 @query("bag_of_words_terms", f"WITH {_TERMS_SQL} SELECT t AS term, idx::int AS idx FROM terms")
 def bag_of_words_terms(spark, d):
-    return vocab.fit_terms(_docs(spark, d).filter("partition = 'train'"), "tokens", 3000)
+    return vocab.fit_terms(_docs(spark, d).filter("partition = 'train'"), "tokens")
 
 
 @query(
@@ -144,7 +146,7 @@ def bag_of_words_terms(spark, d):
 )
 def bag_of_words(spark, d):
     docs = _docs(spark, d)
-    terms = vocab.fit_terms(docs.filter("partition = 'train'"), "tokens", 3000)
+    terms = vocab.fit_terms(docs.filter("partition = 'train'"), "tokens")
     return vocab.term_counts(docs, "doc_id", "tokens", terms)
 
 
@@ -184,19 +186,28 @@ _SUBWORD_SQL = f"""{_TERMS_SQL}, {_CHARS_SQL},
 )
 def subword_terms(spark, d):
     docs = _docs(spark, d)
-    return vocab.subword_features(docs.filter("partition = 'train'"), docs, "doc_id", "text", 3000)[0]
+    return vocab.subword_features(docs.filter("partition = 'train'"), docs, "doc_id", "text")[0]
 
 
-@query(
-    "subword_counts",
-    f"""WITH {_SUBWORD_SQL}, every AS (SELECT doc_id, g AS term FROM {_grams_sql(2, 6)} WHERE g IS NOT NULL)
+_SUBWORD_COUNTS_SQL = f"""WITH {_SUBWORD_SQL}, every AS (SELECT doc_id, g AS term FROM {_grams_sql(2, 6)} WHERE g IS NOT NULL)
     SELECT doc_id, idx::int AS idx, count(*) AS tf FROM words JOIN plain ON t = term GROUP BY ALL
     UNION ALL SELECT doc_id, (idx + (SELECT count(*) FROM plain))::int, count(*) FROM every JOIN subwords USING (term)
-    GROUP BY ALL""",
-)
+    GROUP BY ALL"""
+
+
+@query("subword_counts", _SUBWORD_COUNTS_SQL)
 def subword_counts(spark, d):
     docs = _docs(spark, d)
-    return vocab.subword_features(docs.filter("partition = 'train'"), docs, "doc_id", "text", 3000)[1]
+    return vocab.subword_features(docs.filter("partition = 'train'"), docs, "doc_id", "text")[1]
+
+
+@query("subword_vectors", _SUBWORD_COUNTS_SQL)
+def subword_vectors(spark, d):
+    docs = _docs(spark, d).select("doc_id", "partition", "text")
+    features = vocab.subword_features(docs.filter("partition = 'train'"), docs, "doc_id", "text")[0]
+    cells = F.udf(lambda v: list(zip(v.indices.tolist(), map(int, v.toArray()[v.indices]))), "array<struct<idx:int,tf:long>>")
+    vectors_of = baseline.stacked_counts(docs, "text", checkpointed(features)).select("doc_id", "features")
+    return vectors_of.select("doc_id", F.inline(cells("features")))
 
 
 # --- vectors: the word with id i has the embedding with vec_id i ---------------------------------------

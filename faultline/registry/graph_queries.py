@@ -18,15 +18,16 @@ from faultline.sources.graphs import parse_graphs
 _PROPERTY_SQL = """edges AS (SELECT l_suppkey AS graph_id, 'o' || l_orderkey AS innode, 'p' || l_partkey AS outnode,
     CASE WHEN l_returnflag = 'A' THEN 'CDG' WHEN l_returnflag = 'R' THEN 'AST'
       WHEN l_linestatus = 'F' THEN 'CONTAINS' ELSE 'REACHING_DEF' END AS etype FROM lineitem),
-  nodes AS (SELECT graph_id, id, k, CASE WHEN k % 5 = 0 THEN NULL ELSE (k % 40)::int END AS line,
+  nodes AS MATERIALIZED (SELECT graph_id, id, graph_id || ':' || id AS place, k, CASE WHEN k % 5 = 0 THEN NULL ELSE (k % 40)::int END AS line,
       CASE WHEN k % 11 = 0 THEN 'COMMENT' ELSE 'IDENTIFIER' END AS label, 'n' || (k % 9) AS name,
       repeat('x', (k % 7)::int) AS code
     FROM (SELECT DISTINCT l_suppkey AS graph_id, 'o' || l_orderkey AS id, l_orderkey AS k FROM lineitem
       UNION SELECT DISTINCT l_suppkey, 'p' || l_partkey, l_partkey FROM lineitem)),
-  placed AS (SELECT e.*, o.line AS line_out, i.line AS line_in FROM edges e
-    JOIN nodes o ON o.graph_id = e.graph_id AND o.id = e.outnode
-    JOIN nodes i ON i.graph_id = e.graph_id AND i.id = e.innode
-    WHERE o.line IS NOT NULL OR i.line IS NOT NULL)"""
+  ends AS MATERIALIZED (SELECT e.*, o.line AS line_out, o.name AS name_out FROM edges e
+    JOIN nodes o ON o.place = e.graph_id || ':' || e.outnode),
+  placed AS MATERIALIZED (SELECT e.*, i.line AS line_in FROM ends e
+    JOIN nodes i ON i.place = e.graph_id || ':' || e.innode
+    WHERE e.line_out IS NOT NULL OR i.line IS NOT NULL)"""
 
 
 def _edges(spark, d):
@@ -116,8 +117,7 @@ def edges_with_lines(spark, d):
         CASE WHEN line_out IS NULL THEN outnode || '_' || innode ELSE outnode END AS b, line_in AS line FROM placed
     UNION ALL SELECT 'node', graph_id, id, NULL, line FROM nodes
     UNION ALL SELECT DISTINCT 'node', p.graph_id, p.outnode || '_' || p.innode,
-        'TYPE_' || p.line_in || ': ' || n.name, p.line_in FROM placed p
-      JOIN nodes n ON n.graph_id = p.graph_id AND n.id = p.outnode WHERE p.line_out IS NULL""",
+        'TYPE_' || p.line_in || ': ' || p.name_out, p.line_in FROM placed p WHERE p.line_out IS NULL""",
 )
 def split_shared_types(spark, d):
     nodes = _nodes(spark, d)

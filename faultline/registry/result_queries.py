@@ -526,11 +526,11 @@ def _wide(spark, d):
 
 @query(
     "long_results",
-    """SELECT s_suppkey AS run, 'val' AS set, s_nationkey AS fold, 'multitask' AS scenario,
+    """SELECT s_suppkey AS run, 'val' AS set, s_nationkey AS fold, 0.5::double AS pred_time, 'multitask' AS scenario,
         round(s_acctbal / 1000, 3) AS acc, s_suppkey % 10 / 10 AS mcc FROM supplier
-    UNION ALL SELECT s_suppkey, 'val', s_nationkey, 'cvss2_conf', s_suppkey % 7 / 7.0::double, s_suppkey % 5 / 5.0::double
+    UNION ALL SELECT s_suppkey, 'val', s_nationkey, 0.5::double, 'cvss2_conf', s_suppkey % 7 / 7.0::double, s_suppkey % 5 / 5.0::double
       FROM supplier
-    UNION ALL SELECT s_suppkey, 'val', s_nationkey, 'cvss2_avail', NULL, s_suppkey % 4 / 4.0::double FROM supplier""",
+    UNION ALL SELECT s_suppkey, 'val', s_nationkey, 0.5::double, 'cvss2_avail', NULL, s_suppkey % 4 / 4.0::double FROM supplier""",
 )
 def long_results(spark, d):
     return R.wide_to_long(_wide(spark, d), ["run", "set", "fold"])
@@ -539,10 +539,10 @@ def long_results(spark, d):
 @query(
     "mean_long_results",
     """SELECT 'multitask' AS scenario, round(avg(round(s_acctbal / 1000, 3)), 6) AS acc,
-        round(avg(s_suppkey % 10 / 10), 6) AS mcc FROM supplier
-    UNION ALL SELECT 'cvss2_conf', round(avg(s_suppkey % 7 / 7.0::double), 6), round(avg(s_suppkey % 5 / 5.0::double), 6)
+        round(avg(s_suppkey % 10 / 10), 6) AS mcc, 0.5::double AS pred_time FROM supplier
+    UNION ALL SELECT 'cvss2_conf', round(avg(s_suppkey % 7 / 7.0::double), 6), round(avg(s_suppkey % 5 / 5.0::double), 6), 0.5::double
       FROM supplier
-    UNION ALL SELECT 'cvss2_avail', NULL, round(avg(s_suppkey % 4 / 4.0::double), 6) FROM supplier""",
+    UNION ALL SELECT 'cvss2_avail', NULL, round(avg(s_suppkey % 4 / 4.0::double), 6), 0.5::double FROM supplier""",
 )
 def mean_long_results(spark, d):
     return _rounded(R.wide_to_long(_wide(spark, d), ["run", "set", "fold"], average=True), ["acc", "mcc"])

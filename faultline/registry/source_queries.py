@@ -115,7 +115,7 @@ def streamed_functions(spark, d):
 def streamed_token_ids(spark, d):
     docs = table(spark, d, "documents")
     batch = texts.prepare_stream(docs.select("doc_id", F.col("text").alias("code")), "doc_id", "code")
-    found = vocab.freeze(vocab.fit_vocabulary(batch.filter("partition = 'train'"), "doc_id", "tokens", 2000))
+    found = vocab.freeze(vocab.fit_vocabulary(batch.filter("partition = 'train'"), "doc_id", "tokens"))
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     prepared = texts.prepare_stream(stream.select("doc_id", F.col("text").alias("code")), "doc_id", "code")
     encoded = texts.encode_stream(prepared, found, vocab.GRAPH_MODEL).select("doc_id", "ids")
@@ -173,6 +173,11 @@ def linear_svm_grid(spark, d):
     return _grid(spark, d, "svm", ["1"])
 
 
+@query("neighbour_grid")
+def neighbour_grid(spark, d):
+    return _grid(spark, d, "knn", ["5-uniform-1", "11-distance-2"])
+
+
 @query("random_forest_grid")
 def random_forest_grid(spark, d):
     return _grid(spark, d, "rf", ["10-16", "20-16"])

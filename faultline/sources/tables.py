@@ -17,6 +17,9 @@ RESULT_LAYOUTS = {
     7: ("feature_type", "feature_scope", "token", "cvss", "label", "fold"),
 }
 
+# Fixed value: the only label family that seven-part names may carry.
+LABEL_FAMILY = "cvss2"
+
 FUNCTION_SCHEMA = T.StructType(
     [T.StructField("id", T.LongType())]
     + [
@@ -100,11 +103,33 @@ def with_file_columns(df: DataFrame, path: Column, parts: int) -> DataFrame:
     kept = split.filter(F.size("__parts") == parts)
     columns = {n: F.get("__parts", F.lit(i)) for i, n in enumerate(names)}
     if parts == 7:
+        kept = kept.filter(F.get("__parts", F.lit(names.index("cvss"))) == LABEL_FAMILY)
         columns["scenario"] = F.concat_ws("_", columns.pop("cvss"), columns.pop("label"))
     return kept.withColumns(columns).drop("__parts")
 
 
 def read_results(spark: SparkSession, folder: str, parts: int, schema: T.StructType | str) -> DataFrame:
-    """All result CSV files of a folder whose names have the given number of parts, as one table."""
-    files = spark.read.schema(schema).csv(folder, header=True, pathGlobFilter="*")
-    return with_file_columns(files.withColumn("__file", F.col("_metadata.file_path")), F.col("__file"), parts).drop("__file")
+    """All result CSV files of a folder whose names have the given number of parts, as one table.
+
+    Columns are matched by name: files are read by header, each group in its own column order; a column that a
+    file does not have is null. A header with a column that ``schema`` does not list is refused.
+    """
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    # The header is the first line; only one short row per file reaches the driver.
+    heads = spark.read.text(folder, wholetext=True, pathGlobFilter="*").select(
+        F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1).alias("head"), F.col("_metadata.file_path").alias("file")
+    )
+    named = with_file_columns(heads, F.col("file"), parts).select("head", "file")
+    found = None
+    for row in named.groupBy("head").agg(F.collect_list("file").alias("files")).collect():
+        columns = [c.strip().strip('"') for c in row["head"].split(",")]
+        unknown = sorted(set(columns) - set(wanted.names) - {""})
+        if unknown:
+            raise ValueError(f"columns {unknown} of {row['files'][0]} are not in the schema")
+        kinds = [wanted[c] if c in wanted.names else T.StructField(INDEX_COLUMN, T.StringType()) for c in columns]
+        one = spark.read.schema(T.StructType(kinds)).csv(row["files"], header=True, enforceSchema=False)
+        one = one.select(*[c for c in columns if c], F.col("_metadata.file_path").alias("__file"))
+        found = one if found is None else found.unionByName(one, allowMissingColumns=True)
+    empty = spark.createDataFrame([], wanted).withColumn("__file", F.lit(""))
+    table = empty if found is None else empty.unionByName(found, allowMissingColumns=True)
+    return with_file_columns(table, F.col("__file"), parts).drop("__file")

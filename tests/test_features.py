@@ -208,6 +208,31 @@ def test_result_files(spark, tmp_path):
     assert [(r["scenario"], r["fold"]) for r in seven.collect()] == [("cvss2_C", "3")]
 
 
+def test_result_files_by_header(spark, tmp_path):
+    (tmp_path / "code_hc_word_3_x.csv").write_text("mcc,f1\n0.1,0.2\n")
+    (tmp_path / "code_hc_word_4_x.csv").write_text("f1,mcc\n0.4,0.3\n")
+    (tmp_path / "code_hc_word_5_x.csv").write_text("mcc\n0.5\n")
+    (tmp_path / "code_hc_word_cvss3_C_3_x.csv").write_text("mcc\n0.9\n")
+    rows = tables.read_results(spark, str(tmp_path), 5, "mcc double, f1 double").collect()
+    assert {r["fold"]: (r["mcc"], r["f1"]) for r in rows} == {"3": (0.1, 0.2), "4": (0.3, 0.4), "5": (0.5, None)}
+    assert tables.read_results(spark, str(tmp_path), 7, "mcc double").count() == 0
+    with pytest.raises(ValueError, match="not in the schema"):
+        tables.read_results(spark, str(tmp_path), 5, "mcc double").count()
+
+
+def test_encoding_above_the_dictionary_limit(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "b a = z", "a b"), (2, "b a = z", None), (3, "", "c")], "id int, one string, two string")
+    found = vocab.fit_vocabulary(words(spark, "a b c a = = ="), "id", "tokens")
+    model = {"length": 3, "unknown": 0, "pad": 1}
+    small = vocab.encode_text(df, ["one", "two"], found, model).orderBy("id").collect()
+    plain = vocab.decode(df.select(F.array(F.lit(0), F.lit(3), F.lit(1)).alias("ids")), "ids", found, "out", 1, ["<unk>", "<pad>"]).collect()
+    monkeypatch.setattr(vocab, "DICTIONARY_ROWS", 1)
+    monkeypatch.setattr(vocab, "FREQUENT", 1)
+    monkeypatch.setattr(vocab.fits_dictionary, "__defaults__", (1,))
+    assert vocab.encode_text(df, ["one", "two"], found, model).orderBy("id").collect() == small
+    assert vocab.decode(df.select(F.array(F.lit(0), F.lit(3), F.lit(1)).alias("ids")), "ids", found, "out", 1, ["<unk>", "<pad>"]).collect() == plain
+
+
 def test_project_folders(spark, tmp_path):
     df = spark.createDataFrame([(1, "linux"), (2, "php")], "id int, project string")
     path = tables.write_by_project(df, str(tmp_path / "p"))

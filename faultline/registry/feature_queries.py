@@ -205,7 +205,9 @@ def subword_counts(spark, d):
 def subword_vectors(spark, d):
     docs = _docs(spark, d).select("doc_id", "partition", "text")
     features = vocab.subword_features(docs.filter("partition = 'train'"), docs, "doc_id", "text")[0]
-    cells = F.udf(lambda v: list(zip(v.indices.tolist(), map(int, v.toArray()[v.indices]))), "array<struct<idx:int,tf:long>>")
+    # v is sparse unless most terms are in the text
+    pairs = lambda v: zip(v.indices, v.values) if hasattr(v, "indices") else enumerate(v.values)
+    cells = F.udf(lambda v: [(int(i), int(n)) for i, n in pairs(v) if n], "array<struct<idx:int,tf:long>>")
     vectors_of = baseline.stacked_counts(docs, "text", checkpointed(features)).select("doc_id", "features")
     return vectors_of.select("doc_id", F.inline(cells("features")))
 

@@ -115,6 +115,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         F.col(url_col).alias("url"),
         F.substring(text_bytes(html_col), 1, SAMPLE_BYTES).alias("payload"),
     )
+    # Only the lowest share of the hash range is sorted, so what the tasks send for it does not grow with their number.
+    share = min(1.0, 2.0 * SAMPLES / max(1, pages.count()))
+    some = some.filter((F.col("draw").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) <= share)
     drawn = some.orderBy("draw", "page_id").limit(SAMPLES).select("page_id", "url", "payload").collect()
     samples = [record(i, u, bytes(p), hashlib.sha256(p).hexdigest(), None) for i, u, p in drawn]
     dictionary = build_dictionary(samples)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.ranking import md5_bucket, row_index
+from faultline.operators.ranking import md5_bucket, md5_digits, row_index
 
 # 20 % is held out and halved into test and valid.
 SPLIT_RATIOS = {"train": 0.8, "test": 0.1, "valid": 0.1}
@@ -43,9 +43,10 @@ def assign_split(
         slots = 10_000
         return df.withColumn("partition", _role(hash_fraction(F.col(key), seed, slots), F.lit(slots), ratios))
     salted = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
-    ranked = row_index(df, "__row", [shuffle_key(F.col(key), seed), F.col(key)], md5_bucket(salted))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return ranked.withColumn("partition", _role(F.col("__row"), total, ratios)).drop("__row")
+    total = df.count()
+    bucket = md5_bucket(salted, md5_digits(total))
+    ranked = row_index(df, "__row", [shuffle_key(F.col(key), seed), F.col(key)], bucket)
+    return ranked.withColumn("partition", _role(F.col("__row"), F.lit(total), ratios)).drop("__row")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -87,7 +88,8 @@ def fold_roles(folds: DataFrame, k: int, key: str) -> DataFrame:
 def equal_size_groups(df: DataFrame, side: str, key: str, seed: int = 42) -> DataFrame:
     """Down-sample every side to the size of the smallest one, in hash order."""
     salted = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
-    ranked = row_index(df, "__row", [shuffle_key(F.col(key), seed), F.col(key)], md5_bucket(salted), [side])
     sizes = df.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-    smallest = sizes.agg(F.min("n").alias("n")).scalar()
-    return ranked.filter(F.col("__row") < smallest).drop("__row")
+    row = sizes.agg(F.min("n").alias("smallest"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    bucket = md5_bucket(salted, md5_digits(row["total"]))
+    ranked = row_index(df, "__row", [shuffle_key(F.col(key), seed), F.col(key)], bucket, [side])
+    return ranked.filter(F.col("__row") < F.lit(row["smallest"])).drop("__row")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.cluster import checkpointed
-from faultline.operators.ranking import md5_bucket, quantile_bucket, row_index, running_sum
+from faultline.operators.ranking import md5_bucket, md5_digits, quantile_bucket, row_index, running_sum
 from faultline.operators.splits import shuffle_key
 
 ALTERNATIVES = ("two-sided", "less", "greater", "compat")
@@ -25,7 +25,6 @@ ALTERNATIVES = ("two-sided", "less", "greater", "compat")
 # Sample sizes up to which p-values are exact (without ties).
 EXACT_RANK_SUM = 8
 EXACT_SIGNED_RANK = 25
-EXACT_CELLS = 1_000_000
 
 
 def normal_tail(z: float) -> float:
@@ -59,7 +58,7 @@ def _rank_sum_p(n1: pd.Series, n2: pd.Series, u: pd.Series, z: pd.Series, tied:
     def p(a, b, stat, score, ties):
         if stat is None or math.isnan(stat) or not a or not b:
             return None
-        if not ties and min(a, b) <= EXACT_RANK_SUM and a * b <= EXACT_CELLS:
+        if not ties and min(a, b) <= EXACT_RANK_SUM:
             return rank_sum_tail(int(a), int(b), stat)
         return None if score is None or math.isnan(score) else normal_tail(score)
 
@@ -81,33 +80,34 @@ def _mean_rank(first: Column, count: Column) -> Column:
     return first + (count + 1) / 2
 
 
-def mann_whitney(
-    df: DataFrame, group: Sequence[str], side: str, value: str, alternative: str = "two-sided", with_p: bool = True
-) -> DataFrame:
-    """(group, n1, n2, u1, z, p): rank sum test with tie and continuity correction.
-
-    p is exact for small samples without ties, otherwise from the normal approximation.
-
-    ``compat`` picks 'greater' when the first mean is smaller and 'less' otherwise, against the data.
-    """
-    if alternative not in ALTERNATIVES:
-        raise ValueError(f"unknown alternative {alternative!r}")
+def side_counts(df: DataFrame, group: Sequence[str], side: str, value: str) -> DataFrame:
+    """(group, v, a, b): how often each value occurs on the sides; all the tests but the paired one need."""
     is_a = F.col(side) == "A"
-    counts = df.groupBy(*group, F.col(value).cast("double").alias("v")).agg(
+    return df.groupBy(*group, F.col(value).cast("double").alias("v")).agg(
         F.sum(is_a.cast("bigint")).alias("a"), F.sum((~is_a).cast("bigint")).alias("b")
     )
-    counts = checkpointed(counts.withColumn("t", F.col("a") + F.col("b")))  # distinct values only, read three times
+
+
+def side_summary(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Sizes, sums, means, squares, rank sum and ties per group of staged ``side_counts``, in one pass over them."""
+    counts = counts.withColumn("t", F.col("a") + F.col("b"))
     ranked = running_sum(counts, F.col("t"), "upto", [F.col("v")], quantile_bucket(counts, "v"), group)
     rank = _mean_rank(F.col("upto") - F.col("t"), F.col("t"))
     t = F.col("t").cast("double")
-    sums = ranked.groupBy(*group).agg(
+    return ranked.groupBy(*group).agg(
         F.sum("a").alias("n1"),
         F.sum("b").alias("n2"),
         F.sum(F.col("a") * rank).alias("r1"),
         F.sum(t * t * t - t).alias("ties"),
         (F.sum(F.col("a") * F.col("v")) / F.sum("a")).alias("mean1"),
         (F.sum(F.col("b") * F.col("v")) / F.sum("b")).alias("mean2"),
+        F.sum(F.col("a") * F.col("v") * F.col("v")).alias("squares1"),
+        F.sum(F.col("b") * F.col("v") * F.col("v")).alias("squares2"),
     )
+
+
+def _rank_test(sums: DataFrame, keep: Sequence[str], alternative: str, with_p: bool) -> DataFrame:
+    """``keep`` plus u1, z and p of the rank sum test."""
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
@@ -121,20 +121,36 @@ def mann_whitney(
         "compat": F.when(F.col("mean1") < F.col("mean2"), greater).otherwise(less),
     }[alternative]
     z = F.when(sd > 0, (chosen - n1 * n2 / 2 - 0.5) / sd)
-    columns = [*group, "n1", "n2", u1.alias("u1"), z.alias("z")]
+    columns = [*keep, u1.alias("u1"), z.alias("z")]
     if not with_p:
         return sums.select(*columns)
     tails = 2.0 if alternative == "two-sided" else 1.0
-    wide = sums.select(*columns, chosen.alias("__u"), (F.col("ties") > 0).alias("__tied"))
-    p = _rank_sum_p("n1", "n2", "__u", "z", "__tied") * tails
-    return wide.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).drop("__u", "__tied")
+    sizes = [F.col("n1").alias("__n1"), F.col("n2").alias("__n2")]
+    wide = sums.select(*columns, *sizes, chosen.alias("__u"), (F.col("ties") > 0).alias("__tied"))
+    p = _rank_sum_p("__n1", "__n2", "__u", "z", "__tied") * tails
+    return wide.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).drop("__n1", "__n2", "__u", "__tied")
+
+
+def mann_whitney(
+    df: DataFrame, group: Sequence[str], side: str, value: str, alternative: str = "two-sided", with_p: bool = True
+) -> DataFrame:
+    """(group, n1, n2, u1, z, p): rank sum test with tie and continuity correction.
+
+    p is exact for small samples without ties, otherwise from the normal approximation.
+
+    ``compat`` picks 'greater' when the first mean is smaller and 'less' otherwise, against the data.
+    """
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"unknown alternative {alternative!r}")
+    counts = checkpointed(side_counts(df, group, side, value))  # distinct values only, read three times
+    return _rank_test(side_summary(counts, group), [*group, "n1", "n2"], alternative, with_p)
 
 
 def paired_sample(df: DataFrame, group: Sequence[str], side: str, key: str, value: str, seed: int = 42) -> DataFrame:
     """(group, a, b): both sides cut to the smaller size in hash order and paired by position."""
     salted = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
     order = [shuffle_key(F.col(key), seed), F.col(key)]
-    ranked = row_index(df, "__row", order, md5_bucket(salted), [*group, side])
+    ranked = row_index(df, "__row", order, md5_bucket(salted, md5_digits(df.count())), [*group, side])
     pair = ranked.groupBy(*group, "__row").agg(
         F.max(F.when(F.col(side) == "A", F.col(value))).alias("a"),
         F.max(F.when(F.col(side) == "B", F.col(value))).alias("b"),
@@ -191,16 +207,28 @@ def compare_results(
 ) -> DataFrame:
     """Comparison of A and B per metric, for every scenario and for all of them together (``overall``).
 
-    The raw values stay in the input table; a hot scenario's values are never gathered into one row.
+    Sizes, means, deviations and ranks come from one table of value counts; ``overall`` is its sum over the scenarios.
+    Only the pairing needs rows. The raw values stay in the input table; a hot scenario's values are never gathered into
+    one row.
     """
-    levels = F.explode(F.array(F.col(scenario), F.lit("overall"))).alias("scenario")
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"unknown alternative {alternative!r}")
     values = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
-    long = df.select(F.col(side).alias("side"), F.col(key).alias("key"), levels, *[F.col(m) for m in metrics])
+    long = df.select(F.col(side).alias("side"), F.col(key).alias("key"), F.col(scenario).alias("scenario"), *metrics)
     long = long.select("side", "key", "scenario", values).filter("value IS NOT NULL")
     group = ["metric", "scenario"]
-    effect = cohen_d(long, group, "side", "value")
-    ranks = mann_whitney(long, group, "side", "value", alternative, with_p).drop("n1", "n2")
-    signs = wilcoxon(paired_sample(long, group, "side", "key", "value"), group, with_p=with_p)
+    counts = checkpointed(side_counts(long, group, "side", "value"))
+    overall = counts.groupBy("metric", F.lit("overall").alias("scenario"), "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = checkpointed(side_summary(checkpointed(counts.unionByName(overall)), group))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    spread1 = F.col("squares1") - n1 * F.col("mean1") * F.col("mean1")
+    spread2 = F.col("squares2") - n2 * F.col("mean2") * F.col("mean2")
+    pooled = F.sqrt(F.greatest(F.lit(0.0), spread1 + spread2) / (n1 + n2 - 2))
+    d = F.when((n1 > 1) & (n2 > 1) & (pooled > 0), F.abs(F.col("mean1") - F.col("mean2")) / pooled).alias("d")
+    ranks = _rank_test(sums.withColumn("d", d), [*group, "n1", "n2", "mean1", "mean2", "d"], alternative, with_p)
+    levels = F.explode(F.array("scenario", F.lit("overall"))).alias("scenario")
+    both = long.select("side", "key", "metric", "value", levels)
+    signs = wilcoxon(paired_sample(both, group, "side", "key", "value"), group, with_p=with_p)
     ranks = ranks.withColumnsRenamed({"z": "mwu_z", "p": "mwu_p"})
     signs = signs.withColumnsRenamed({"n": "wilcoxon_n", "w": "wilcoxon_w", "z": "wilcoxon_z", "p": "wilcoxon_p"})
-    return effect.join(ranks, group, "left").join(signs, group, "left")
+    return ranks.join(signs, group, "left")

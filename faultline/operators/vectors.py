@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,23 @@ WINDOW = 5
 MIN_COUNT = 2
 SEED = 42
 EPOCHS = 10
+MAX_VOCAB = 10_000
+# Words that one task trains on.
+TASK_WORDS = 250_000
+
+
+def frequent_enough(words: DataFrame, min_count: int, max_vocab: int) -> tuple[int, int]:
+    """(smallest count that keeps at most ``max_vocab`` terms, number of words) of (``term``, ``tf``).
+
+    Terms are reduced to how many share a count before they meet; there are few different counts.
+    """
+    shared = words.groupBy("tf").agg(F.count(F.lit(1)).alias("terms"))
+    falling = Window.orderBy(F.col("tf").desc())
+    upto = shared.withColumn("upto", F.sum("terms").over(falling))
+    kept = F.min(F.when((F.col("upto") <= max_vocab) & (F.col("tf") >= min_count), F.col("tf")))
+    most = F.max("tf") + 1
+    row = upto.agg(F.coalesce(kept, F.greatest(most, F.lit(min_count))).alias("least"), F.sum(F.col("tf") * F.col("terms")).alias("n")).first()
+    return int(row["least"] or min_count), int(row["n"] or 0)
 
 
 def fit_word_vectors(
@@ -30,12 +48,20 @@ def fit_word_vectors(
     window: int = WINDOW,
     min_count: int = MIN_COUNT,
     epochs: int = EPOCHS,
-    partitions: int = 1,
+    max_vocab: int = MAX_VOCAB,
+    task_words: int = TASK_WORDS,
 ) -> Word2VecModel:
-    """Skip-gram vectors with the Spark ML trainer (hierarchical softmax)."""
+    """Skip-gram vectors with the Spark ML trainer (hierarchical softmax).
+
+    Every ``task_words`` words are a task of their own; the trainer joins their updates after each epoch. The trainer keeps
+    one vector per term on the driver, so at most ``max_vocab`` terms are trained: the count that a term needs rises until
+    they fit.
+    """
+    terms = train.select(unfold(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    least, words = frequent_enough(terms, min_count, max_vocab)
     trainer = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=SEED, numPartitions=partitions,
-        inputCol=tokens, outputCol="__unused",
+        vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=SEED,
+        numPartitions=max(1, math.ceil(words / task_words)), inputCol=tokens, outputCol="__unused",
     )
     return trainer.fit(train)
 

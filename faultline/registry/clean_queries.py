@@ -49,9 +49,9 @@ def labelled_with_deletions(spark, d):
     return clean.with_deleted_lines(clean.drop_failed_labels(rows, "label"))
 
 
-@query("short_functions", "SELECT doc_id, text FROM documents WHERE len(string_split(text, chr(10))) <= 20")
+@query("short_functions", "SELECT doc_id, text FROM documents WHERE len(string_split(text, chr(10))) <= 200")
 def short_functions(spark, d):
-    return clean.drop_long_functions(table(spark, d, "documents").select("doc_id", "text"), "text", 20)
+    return clean.drop_long_functions(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
 @query(

@@ -144,14 +144,13 @@ def binarized_labels(spark, d):
 @query(
     "decoded_predictions",
     """SELECT vec_id, (list_position(p, list_max(p)) - 1)::int AS best,
-      list_extract(['C', 'N', 'P'], list_position(p, list_max(p))::int) AS label,
-      (CASE WHEN embedding[1] > 0.5 THEN 1 ELSE 0 END)::int AS single
-    FROM (SELECT vec_id, embedding, embedding[1:3] AS p FROM embeddings)""",
+      'class ' || list_position(p, list_max(p)) AS label, (CASE WHEN list_max(p) > 0.5 THEN 1 ELSE 0 END)::int AS single
+    FROM (SELECT vec_id, embedding AS p FROM embeddings)""",
 )
 def decoded_predictions(spark, d):
-    rows = table(spark, d, "embeddings").withColumn("p", F.slice("embedding", 1, 3))
-    single = F.slice(F.transform("embedding", lambda x: F.greatest(x, F.lit(0.0))), 1, 1)
-    classes = F.array(F.lit("C"), F.lit("N"), F.lit("P"))
+    rows = table(spark, d, "embeddings").withColumn("p", F.col("embedding"))
+    single = F.array(F.array_max("p"))
+    classes = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.concat(F.lit("class "), i.cast("string")))
     return rows.select(
         "vec_id",
         cvss.predicted_index(F.col("p")).alias("best"),

@@ -7,6 +7,7 @@ from faultline.operators import metrics as M
 from faultline.operators import runs as R
 from faultline.operators import selection as S
 from faultline.operators import stats as ST
+from faultline.operators.ranking import quantile_bucket, row_index
 from faultline.registry.catalog import query, table
 
 # --- evaluation: true class = order status or priority, predicted class from the key -------------------
@@ -138,16 +139,16 @@ def mean_target_scores(spark, d):
 
 @query(
     "weighted_task_loss",
-    """WITH scores AS (SELECT vec_id, [exp(embedding[1]), exp(embedding[2]), exp(embedding[3])] AS e FROM embeddings),
-      l AS (SELECT avg(-ln(e[vec_id % 3 + 1] / (e[1] + e[2] + e[3]))) AS first,
-        avg(-ln(e[vec_id // 2 % 3 + 1] / (e[1] + e[2] + e[3]))) AS second FROM scores)
+    """WITH scores AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::double)) AS e FROM embeddings),
+      l AS (SELECT avg(-ln(e[vec_id % len(e) + 1] / list_sum(e))) AS first,
+        avg(-ln(e[vec_id // 2 % len(e) + 1] / list_sum(e))) AS second FROM scores)
     SELECT round(first + 0.5 * second, 6) AS loss FROM l""",
 )
 def weighted_task_loss(spark, d):
     rows = table(spark, d, "embeddings").select(
-        (F.col("vec_id") % 3).alias("y0"),
-        (F.floor(F.col("vec_id") / 2) % 3).alias("y1"),
-        F.slice("embedding", 1, 3).alias("logits"),
+        (F.col("vec_id") % F.size("embedding")).alias("y0"),
+        (F.floor(F.col("vec_id") / 2) % F.size("embedding")).alias("y1"),
+        F.col("embedding").cast("array<double>").alias("logits"),
     )
     losses = M.task_losses(rows, {"first": ("y0", "logits"), "second": ("y1", "logits")}, logits=True)
     return M.total_loss(losses, {"first": 2.0, "second": 1.0}).select(F.round("loss", 6).alias("loss"))
@@ -241,11 +242,15 @@ def best_settings(spark, d):
     """SELECT o_orderpriority AS problem, 'rf' AS classifier, (e * 100) || '-' || (l * 100) AS parameters
       FROM (SELECT DISTINCT o_orderpriority FROM orders), range(1, 6) a(e), range(1, 4) b(l)
     UNION ALL SELECT o_orderpriority, 'knn', k || '-' || w || '-' || p FROM (SELECT DISTINCT o_orderpriority FROM orders),
-      (SELECT unnest(['5', '11', '31', '51']) AS k), (SELECT unnest(['uniform', 'distance']) AS w), range(1, 3) c(p)""",
+      (SELECT unnest(['5', '11', '31', '51']) AS k), (SELECT unnest(['uniform', 'distance']) AS w), range(1, 3) c(p)
+    UNION ALL SELECT o_orderpriority, name, (e * 100) || '-' || (l * 100) FROM (SELECT DISTINCT o_orderpriority FROM orders),
+      (SELECT unnest(['xgb', 'lgbm']) AS name), range(1, 6) a(e), range(1, 4) b(l)
+    UNION ALL SELECT o_orderpriority, name, c FROM (SELECT DISTINCT o_orderpriority FROM orders),
+      (SELECT unnest(['lr', 'svm']) AS name), (SELECT unnest(['0.01', '0.1', '1', '10', '100']) AS c)""",
 )
 def run_table(spark, d):
     problems = table(spark, d, "orders").select(F.col("o_orderpriority").alias("problem")).distinct()
-    return S.run_table(problems, ["rf", "knn"])
+    return S.run_table(problems, list(S.GRIDS))
 
 
 # --- two-sample statistics: line status = side, return flag = scenario ---------------------------------
@@ -279,15 +284,21 @@ _RANK_SQL = """ranked AS (SELECT metric, scenario, side, rank() OVER w + (count(
       sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM sums)"""
 
 
+def _two_sided_sql(z):
+    """Two-sided tail of the normal distribution, from the series of the error function; above 12 it is zero."""
+    x = f"greatest(least(abs({z}) / sqrt(2), 12), 1e-9)"
+    return f"1 - list_sum(list_transform(range(300), lambda i: exp((2 * i + 1) * ln({x}) - lgamma(i + 1.5::double) - {x} * {x})))"
+
+
 @query(
     "rank_sum_test",
-    f"""WITH {_SAMPLE_SQL}, {_RANK_SQL} SELECT scenario, round(u1, 3) AS u1,
-      round((greatest(u1, nn - u1) - nn / 2 - 0.5) / sd, 6) AS z FROM mwu
-    WHERE metric = 'quantity' AND scenario <> 'overall'""",
+    f"""WITH {_SAMPLE_SQL}, {_RANK_SQL}, tested AS (SELECT scenario, u1, (greatest(u1, nn - u1) - nn / 2 - 0.5) / sd AS z
+      FROM mwu WHERE metric = 'quantity' AND scenario <> 'overall')
+    SELECT scenario, round(u1, 3) AS u1, round(z, 6) AS z, abs(round({_two_sided_sql('z')}, 6)) AS p FROM tested""",
 )
 def rank_sum_test(spark, d):
-    result = ST.mann_whitney(_sample(spark, d), ["scenario"], "side", "quantity", with_p=False)
-    return result.select("scenario", F.round("u1", 3).alias("u1"), F.round("z", 6).alias("z"))
+    result = ST.mann_whitney(_sample(spark, d), ["scenario"], "side", "quantity")
+    return _rounded(result, ["z", "p"]).select("scenario", F.round("u1", 3).alias("u1"), "z", "p")
 
 
 _PAIR_SQL = """numbered AS (SELECT metric, scenario, side, v, row_number() OVER (PARTITION BY metric, scenario, side
@@ -305,13 +316,14 @@ _PAIR_SQL = """numbered AS (SELECT metric, scenario, side, v, row_number() OVER
 
 @query(
     "signed_rank_test",
-    f"""WITH {_SAMPLE_SQL}, {_PAIR_SQL} SELECT scenario, n::bigint AS n, round(w, 3) AS w,
-      round((w - n * (n + 1) / 4) / sd, 6) AS z FROM wil WHERE metric = 'quantity' AND scenario <> 'overall'""",
+    f"""WITH {_SAMPLE_SQL}, {_PAIR_SQL}, tested AS (SELECT *, (w - n * (n + 1) / 4) / sd AS z FROM wil
+      WHERE metric = 'quantity' AND scenario <> 'overall')
+    SELECT scenario, n::bigint AS n, round(w, 3) AS w, round(z, 6) AS z, abs(round({_two_sided_sql('z')}, 6)) AS p FROM tested""",
 )
 def signed_rank_test(spark, d):
     pairs = ST.paired_sample(_sample(spark, d), ["scenario"], "side", "key", "quantity")
-    result = ST.wilcoxon(pairs, ["scenario"], with_p=False)
-    return result.select("scenario", "n", F.round("w", 3).alias("w"), F.round("z", 6).alias("z"))
+    result = ST.wilcoxon(pairs, ["scenario"])
+    return _rounded(result, ["z", "p"]).select("scenario", "n", F.round("w", 3).alias("w"), "z", "p")
 
 
 _EFFECT_SQL = """effect AS (SELECT metric, scenario, count(*) FILTER (side = 'A') AS n1, count(*) FILTER (side = 'B') AS n2,
@@ -331,16 +343,18 @@ def effect_size(spark, d):
 
 @query(
     "compared_results",
-    f"""WITH {_SAMPLE_SQL}, {_EFFECT_SQL}, {_RANK_SQL}, {_PAIR_SQL}
+    f"""WITH {_SAMPLE_SQL}, {_EFFECT_SQL}, {_RANK_SQL}, {_PAIR_SQL}, tested AS (
+      SELECT metric, scenario, effect.n1, effect.n2, mean1, mean2, v1, v2, u1, n::bigint AS wilcoxon_n,
+        (greatest(u1, nn - u1) - nn / 2 - 0.5) / m.sd AS mz, (w - n * (n + 1) / 4) / wil.sd AS wz
+      FROM effect JOIN mwu m USING (metric, scenario) JOIN wil USING (metric, scenario))
     SELECT metric, scenario, n1, n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2,
-      round(abs(mean1 - mean2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d,
-      round(u1, 3) AS u1, round((greatest(u1, nn - u1) - nn / 2 - 0.5) / m.sd, 6) AS mwu_z,
-      n::bigint AS wilcoxon_n, round((w - n * (n + 1) / 4) / wil.sd, 6) AS wilcoxon_z
-    FROM effect JOIN mwu m USING (metric, scenario) JOIN wil USING (metric, scenario) WHERE metric = 'quantity'""",
+      round(abs(mean1 - mean2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d, round(u1, 3) AS u1,
+      round(mz, 6) AS mwu_z, abs(round({_two_sided_sql('mz')}, 6)) AS mwu_p, wilcoxon_n, round(wz, 6) AS wilcoxon_z,
+      abs(round({_two_sided_sql('wz')}, 6)) AS wilcoxon_p FROM tested""",
 )
 def compared_results(spark, d):
-    result = ST.compare_results(_sample(spark, d), "side", "scenario", "key", ["quantity"], with_p=False)
-    result = _rounded(result, ["mean1", "mean2", "d", "mwu_z", "wilcoxon_z"]).withColumn("u1", F.round("u1", 3))
+    result = ST.compare_results(_sample(spark, d), "side", "scenario", "key", ["discount", "quantity"])
+    result = _rounded(result, ["mean1", "mean2", "d", "mwu_z", "mwu_p", "wilcoxon_z", "wilcoxon_p"]).withColumn("u1", F.round("u1", 3))
     return result.drop("wilcoxon_w")
 
 
@@ -352,7 +366,12 @@ _EPOCH_SQL = """scored AS (SELECT conv_id, turn, row_number() OVER w - 1 AS posi
   marked AS (SELECT *, before IS NULL OR score > before AS improved FROM scored),
   counted AS (SELECT *, position - max(CASE WHEN improved THEN position END) OVER (PARTITION BY conv_id ORDER BY turn)
     AS counter FROM marked),
-  stops AS (SELECT conv_id, min(position) AS stop FROM counted WHERE counter >= 2 GROUP BY conv_id)"""
+  stops AS (SELECT conv_id, min(position) AS stop FROM counted WHERE counter >= 8 GROUP BY conv_id)"""
+
+# Long runs: customer = run, order = epoch, price = score.
+_ORDER_SQL = _EPOCH_SQL.replace("conversations", "runs").replace("length(text)", "score").replace(
+    "scored AS", "runs AS (SELECT o_custkey AS conv_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS turn,\n    o_totalprice AS score FROM orders),\n  scored AS", 1
+)
 
 
 def _epochs(spark, d):
@@ -384,27 +403,33 @@ def improvement_marks_with_delta(spark, d):
     return marked.select("conv_id", "turn", "improved", "counter")
 
 
+def _orders_as_epochs(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("conv_id"), "o_orderkey", F.col("o_totalprice").alias("score"))
+    bucket = quantile_bucket(rows, "o_orderkey")
+    return row_index(rows, "turn", [F.col("o_orderkey")], bucket, ["conv_id"]).drop("o_orderkey")
+
+
 @query(
     "early_stops",
-    f"""WITH {_EPOCH_SQL} SELECT c.conv_id, max(CASE WHEN improved THEN turn END) AS best_epoch, max(turn) AS stop_epoch,
+    f"""WITH {_ORDER_SQL} SELECT c.conv_id, max(CASE WHEN improved THEN turn END) AS best_epoch, max(turn) AS stop_epoch,
       bool_or(s.stop IS NOT NULL) AS stopped FROM counted c LEFT JOIN stops s ON c.conv_id = s.conv_id
     WHERE s.stop IS NULL OR c.position <= s.stop GROUP BY c.conv_id""",
 )
 def early_stops(spark, d):
-    marked = R.mark_improvements(_epochs(spark, d), "conv_id", "turn", "score")
-    return R.stop_points(marked, "conv_id", "turn", patience=2)
+    marked = R.mark_improvements(_orders_as_epochs(spark, d), "conv_id", "turn", "score")
+    return R.stop_points(marked, "conv_id", "turn")
 
 
 @query(
     "learning_rates",
-    f"""WITH {_EPOCH_SQL} SELECT conv_id, turn, round(0.1 * pow(0.9, sum((counter >= 2)::int) OVER w), 9) AS decayed,
-      round(0.1 * pow(0.2, sum((counter = 1)::int) OVER w), 9) AS dropped FROM counted
+    f"""WITH {_ORDER_SQL} SELECT conv_id, turn, round(0.1 * pow(0.9, sum((counter >= 2)::int) OVER w), 9) AS decayed,
+      round(0.1 * pow(0.2, sum((counter = 3)::int) OVER w), 9) AS dropped FROM counted
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 )
 def learning_rates(spark, d):
-    marked = checkpointed(R.mark_improvements(_epochs(spark, d), "conv_id", "turn", "score"))
+    marked = checkpointed(R.mark_improvements(_orders_as_epochs(spark, d), "conv_id", "turn", "score"))
     first = R.learning_rates(marked, "conv_id", "turn", 0.1).withColumnRenamed("rate", "decayed")
-    second = R.learning_rates(marked, "conv_id", "turn", 0.1, R.DROP, 1, exactly=True).withColumnRenamed("rate", "dropped")
+    second = R.learning_rates(marked, "conv_id", "turn", 0.1, R.DROP, R.DROP_AFTER, exactly=True).withColumnRenamed("rate", "dropped")
     both = first.join(second.select("conv_id", "turn", "dropped"), ["conv_id", "turn"])
     return _rounded(both.select("conv_id", "turn", "decayed", "dropped"), ["decayed", "dropped"], 9)
 
@@ -450,7 +475,7 @@ def collapsed_times(spark, d):
     return mean.union(total)
 
 
-# --- logs: one log text per customer, two partitions of two runs of three epochs --------------------------
+# --- logs: one log text per customer, ten partitions of ten runs of three epochs ---------------------------
 
 
 def _logs(spark, d):
@@ -459,23 +484,25 @@ def _logs(spark, d):
     def text(column):
         return column.cast("string")
 
-    parts = []
-    for p in range(2):
-        parts.append(F.lit(f"Current partition: {p}\n"))
-        for r in range(2):
-            parts.append(F.lit(f"Run # {r}\n"))
-            for e in range(1, 4):
-                seconds, shown = key % 50 + e + 10 * r, F.when(key % 10 == 9, F.lit(4)).otherwise(F.lit(e))
-                parts += [
-                    F.lit("Epoch "), text(shown if e == 2 else F.lit(e)), F.lit("/50\n - "), text(seconds),
-                    F.lit("s - loss: 0.5\nValidation time: "), text(key % 7 + p), F.lit(".25 s.\n"),
-                    F.when(key % 3 + 1 >= e, F.lit(f"Saving best model at epoch {e}\n")).otherwise(F.lit("")),
-                ]
+    def run(p, r):
+        parts = [F.lit("Run # "), text(r), F.lit("\n")]
+        for e in range(1, 4):
+            seconds, shown = key % 50 + e + 10 * r, F.when(key % 10 == 9, F.lit(4)).otherwise(F.lit(e))
             parts += [
-                F.lit("Evaluating the best model on valid\nx\nEvaluating the best model on test\nValidation time: "),
-                text(key % 11), F.lit(".5 s.\n"),
+                F.lit("Epoch "), text(shown if e == 2 else F.lit(e)), F.lit("/50\n - "), text(seconds),
+                F.lit("s - loss: 0.5\nValidation time: "), text(key % 7 + p), F.lit(".25 s.\n"),
+                F.when(key % 3 + 1 >= e, F.lit(f"Saving best model at epoch {e}\n")).otherwise(F.lit("")),
             ]
-    return table(spark, d, "customer").select(key.alias("path"), F.concat(*parts).alias("text"))
+        parts += [
+            F.lit("Evaluating the best model on valid\nx\nEvaluating the best model on test\nValidation time: "),
+            text(key % 11), F.lit(".5 s.\n"),
+        ]
+        return F.concat(*parts)
+
+    ten = F.sequence(F.lit(0), F.lit(9))
+    runs = lambda p: F.array_join(F.transform(ten, lambda r: run(p, r)), "")
+    parts = F.transform(ten, lambda p: F.concat(F.lit("Current partition: "), text(p), F.lit("\n"), runs(p)))
+    return table(spark, d, "customer").select(key.alias("path"), F.array_join(parts, "").alias("text"))
 
 
 @query(
@@ -485,7 +512,7 @@ def _logs(spark, d):
         AS number_of_epoch_at_best_model, 3::bigint AS number_of_epoch_at_finish,
       (path % 50 * 3 + 6 + 30 * r)::bigint AS total_train_time_at_finish,
       3 * (path % 7 + p + 0.25::double) AS total_val_time_at_finish, path % 11 + 0.5::double AS final_evaluation_time
-    FROM (SELECT c_custkey AS path FROM customer), range(2) a(p), range(2) b(r)""",
+    FROM (SELECT c_custkey AS path FROM customer), range(10) a(p), range(10) b(r)""",
 )
 def log_times(spark, d):
     runs = R.log_runs(_logs(spark, d))
@@ -499,11 +526,11 @@ def log_times(spark, d):
 @query(
     "log_violations",
     """SELECT path, p::int AS partition, r::int AS run, 'epoch numbers' AS problem
-      FROM (SELECT c_custkey AS path FROM customer WHERE c_custkey % 10 = 9), range(2) a(p), range(2) b(r)""",
+      FROM (SELECT c_custkey AS path FROM customer WHERE c_custkey % 10 = 9), range(10) a(p), range(10) b(r)""",
 )
 def log_violations(spark, d):
     runs = R.log_runs(_logs(spark, d))
-    return R.log_violations(runs, R.log_epochs(runs), partitions=2, runs_each=2)
+    return R.log_violations(runs, R.log_epochs(runs))
 
 
 # --- result tables: one wide row per supplier ----------------------------------------------------------

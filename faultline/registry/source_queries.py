@@ -45,20 +45,20 @@ def project_folders(spark, d):
 )
 def dense_row_ids(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return tables.with_dense_id(orders, ["o_custkey", "o_orderkey"], quantile_bucket(orders, "o_custkey"))
+    return tables.with_dense_id(orders, ["o_custkey", "o_orderkey"], quantile_bucket(orders, "o_custkey", tie="o_orderkey"))
 
 
 @query(
     "sequence_cells",
     """SELECT vec_id, vec_id || ' ' || (vec_id + 1) AS ints, (vec_id * 2 + 1)::bigint AS total,
-      round(list_sum(list_transform(embedding[1:4], lambda x: x::double)), 5) AS floats FROM embeddings""",
+      round(list_sum(list_transform(embedding, lambda x: x::double)), 5) AS floats FROM embeddings""",
 )
 def sequence_cells(spark, d):
     key = F.col("vec_id")
     cells = table(spark, d, "embeddings").select(
         "vec_id",
         F.concat_ws("  ", key.cast("string"), (key + 1).cast("string")).alias("ints"),
-        F.concat(F.lit("["), F.array_join(F.slice("embedding", 1, 4).cast("array<double>").cast("array<string>"), ", "), F.lit("]")).alias("floats"),
+        F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<double>").cast("array<string>"), ", "), F.lit("]")).alias("floats"),
     )
     ints, floats = tables.parse_ints(F.col("ints")), tables.parse_floats(F.col("floats"))
     add = lambda a, x: a + x

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import history as H
 from faultline.operators.ranking import quantile_bucket
+from faultline.plans import history
 from faultline.registry.catalog import query, table
 
 _BLAME_SQL = """writes AS (SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS file, user_id AS line_key,
@@ -126,3 +127,29 @@ def matched_methods(spark, d):
 )
 def introducing_functions(spark, d):
     return H.introducing_functions(*_methods(spark, d))
+
+
+# The whole job: every size of a brand has written the line with its number; each fix removes four of them.
+
+_JOB_SQL = _METHOD_SQL.replace("k AS ts", "(fix_id * 3 + k * 11) % 50 AS ts")
+
+
+@query(
+    "blamed_functions",
+    f"""WITH {_JOB_SQL} SELECT fix_id AS id, commit AS blaming_commit,
+      'line' || s || ' ' || commit || chr(10) || 'line' || e || ' ' || commit AS blaming_func_before,
+      'new line' || s || ' ' || commit || chr(10) || 'new line' || e || ' ' || commit AS blaming_func_after FROM best""",
+)
+def blamed_functions(spark, d):
+    fixes, candidates, methods, files = _methods(spark, d)
+    line = {"project": F.lit("p"), "fix_ts": F.lit(1000).cast("bigint")}
+    removed = candidates.join(fixes.select("fix_id", "file_name"), "fix_id").select(
+        "fix_id", F.col("file_name").alias("file"), (F.col("commit") - 1).alias("line_key"), F.col("file_name").alias("fix_file")
+    )
+    writes = table(spark, d, "part").select(
+        F.lit("p").alias("project"), F.concat(F.lit("src/deep/"), "p_brand", F.lit(".c")).alias("file"),
+        (F.col("p_size") - 1).cast("bigint").alias("line_key"), F.col("p_size").cast("bigint").alias("commit"),
+        (F.col("p_size") - 1).cast("bigint").alias("commit_ts"),
+    ).distinct()
+    bucket = quantile_bucket(writes.select(F.col("commit_ts").alias("ts")), "ts", 16)
+    return history.blame_fixes(fixes, removed.withColumns(line), writes, methods, files, bucket)

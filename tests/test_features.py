@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from faultline.cluster import stage_path
 from faultline.functions.text import tokenize_code
 from faultline.operators import clean, labels, models, parallel, splits, vectors, vocab
 from faultline.operators import history as H
-from faultline.operators.ranking import quantile_bucket
+from faultline.operators.ranking import quantile_bucket, row_index
 from faultline.plans import baseline, dataset
 from faultline.plans import history as history_plan
 from faultline.sources import html, tables
@@ -169,6 +170,53 @@ def test_neighbours_by_blocks_equal_broadcast(spark):
     assert models.vote(models.nearest_rows(train, queries, 4), "distance").count() == 9
 
 
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    known, asked = rng.normal(size=(300, 4)), rng.normal(size=(40, 4))
+    known[200:] = known[0]  # a third of the rows in one cell, all ties
+    train = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(known)], "id bigint, label int, vec array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "qid bigint, vec array<double>")
+    for norm in (1, 2):
+        gap = np.abs(asked[:, None] - known[None])
+        distance = gap.sum(-1) if norm == 1 else np.sqrt((gap * gap).sum(-1))
+        want = {(q, int(i)) for q in range(40) for i in np.lexsort((np.arange(300), distance[q]))[:6]}
+        rows = models.nearest_rows(train, queries, 6, norm, block_rows=25).collect()
+        assert {(r["qid"], r["id"]) for r in rows} == want
+    none = spark.createDataFrame([], "id bigint, label int, vec array<double>")
+    assert models.nearest_rows(none, queries, 3).count() == 0
+
+
+def test_word_vectors_in_several_tasks(spark):
+    rng = np.random.default_rng(5)
+    topics = [[f"{t}{i}" for i in range(8)] for t in ("sea", "sky")]
+    texts = [(i, [str(w) for w in rng.choice(topics[i % 2], 12)]) for i in range(600)]
+    df = spark.createDataFrame(texts, "id int, tokens array<string>").repartition(4)
+    model = vectors.fit_word_vectors(df, "tokens", size=16, epochs=10, task_words=2_400)
+    vec = {r["term"]: np.array(r["vec"]) for r in vectors.word_vector_table(model).collect()}
+    unit = {w: v / np.linalg.norm(v) for w, v in vec.items()}
+    near = [max((x for x in unit if x != w), key=lambda x: unit[w] @ unit[x])[:3] == w[:3] for w in unit]
+    assert len(unit) == 16 and all(near)
+
+
+def test_vocabulary_of_word_vectors_is_bounded(spark):
+    rows = [("a", 9), ("b", 7), ("c", 7), ("d", 2), ("e", 1)]
+    counted = spark.createDataFrame(rows, "term string, tf bigint")
+    assert vectors.frequent_enough(counted, 2, 10) == (2, 26)
+    assert vectors.frequent_enough(counted, 2, 3) == (7, 26)
+    assert vectors.frequent_enough(counted, 2, 2) == (9, 26)  # equal counts stay together
+    assert vectors.frequent_enough(counted.limit(0), 2, 2) == (2, 0)
+
+
+def test_frequent_value_is_cut_by_ties(spark):
+    hot = F.when(F.col("id") % 10 != 0, 7).otherwise((F.col("id") % 13).cast("int"))
+    df = spark.range(5000).select(hot.alias("o"), F.col("id").alias("t"))
+    bucket = quantile_bucket(df, "o", tie="t")
+    largest = df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest <= 2 * 5000 / 64
+    rows = row_index(df, "n", [F.col("o"), F.col("t")], bucket).collect()
+    assert [r["n"] for r in sorted(rows, key=lambda r: (r["o"], r["t"]))] == list(range(5000))
+
+
 def test_zero_distance_decides(spark):
     near = spark.createDataFrame([(1, 5, 0, 0.0), (1, 6, 1, 0.1), (1, 7, 1, 0.1)], "qid int, id int, label int, distance double")
     assert models.vote(near, "distance").first()["prediction"] == 0

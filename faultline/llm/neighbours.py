@@ -1,30 +1,24 @@
-"""Near-duplicate embeddings: pruned neighbour graphs over overlapping shards, searched from their medoids."""
+"""Near-duplicate embeddings: cells around centres, an exact bound on the cells that can hold a link, counts per block pair."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import components, staged
 
 COSINE = 0.93
-# Vectors of a shard; a label of more is cut along centres, a centre with more in pairs of blocks.
-SHARD_ROWS = 1_000
-OVERLAP = 3
+# Vectors of a cell or of a block of one; a label of more is cut along centres, a cell with more in pairs of blocks.
+CELL_ROWS = 4_096
 # Centres of a label come from so many of its vectors at most, the smallest hashes; further growth goes to the blocks.
 CENTRE_SAMPLE = 2_048
 MAX_CENTRES = 512
 # Vectors that one task assigns to centres at a time.
 ASSIGN_ROWS = 2_048
-DEGREE = 32
-CANDIDATES = 64
-LONG_RANGE = 16
-ALPHA = 1.2
-BEAM = 24
-# How far below the threshold a search still expands what it has found.
-SLACK = 0.06
+# Rows of a block that are compared with the other block at a time.
+SLICE_ROWS = 512
 
 
 def representatives(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +44,8 @@ def representatives(vectors: DataFrame, id_col: str, vector_col: str, label_col:
 
 
 def centres(units: DataFrame) -> DataFrame:
-    """(``label``, ``centres``: doubles, one centre after the other) of each label with more vectors than a shard."""
-    sizes = units.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS)
+    """(``label``, ``centres``: doubles, one centre after the other) of each label with more vectors than a cell."""
+    sizes = units.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS)
     draws = units.withColumn("draw", F.xxhash64("rep"))
     # About CENTRE_SAMPLE vectors of the smallest hashes: the share of the hash range that holds them.
     low, span = -(2.0**63), 2.0**64
@@ -62,7 +56,7 @@ def centres(units: DataFrame) -> DataFrame:
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("draw")
         points = np.stack(rows["unit"].to_numpy())
-        wanted = min(MAX_CENTRES, int(np.ceil(OVERLAP * rows["n"].iloc[0] / SHARD_ROWS)), len(points))
+        wanted = min(MAX_CENTRES, int(np.ceil(rows["n"].iloc[0] / CELL_ROWS)), len(points))
         found = points[:wanted].copy()
         for _ in range(4):
             nearest = (points @ found.T).argmax(axis=1)
@@ -76,171 +70,129 @@ def centres(units: DataFrame) -> DataFrame:
     return sampled.groupBy("label").applyInPandas(cluster, f"label {kind}, centres binary")
 
 
+def visited(near: np.ndarray, centre: np.ndarray, threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
+    """Home cell of each vector, and which other cells it visits, from its products ``near`` with the centres.
+
+    Let x live with c and y with h. Then y.h - y.c = (y - x).(h - c) + x.(h - c), and the last term is not above 0, so a
+    link needs y.h - y.c <= |y - x| |h - c|. All cells that meet this bound are visited, so no link is lost; of two cells
+    only one visits the other.
+    """
+    home = near.argmax(axis=1)
+    reach = np.sqrt(2 - 2 * threshold)
+    apart = np.linalg.norm(centre[:, None, :] - centre[None, :, :], axis=2)
+    gap = near[np.arange(len(near)), home][:, None] - near
+    cells = np.arange(len(centre))
+    one_way = (cells[None, :] < home[:, None]) == ((cells[None, :] + home[:, None]) % 2 == 0)
+    return home, (gap <= reach * apart[home] + 1e-9) & one_way & (cells[None, :] != home[:, None])
+
+
 def members(units: DataFrame) -> DataFrame:
-    """(``label``, ``shard``, ``low``, ``high``, ``rep``, ``unit``): each vector in its OVERLAP nearest shards.
+    """(``label``, ``cell``, ``low``, ``high``, ``own``, ``rep``, ``unit``, ``copies``): each vector where it can have links.
 
-    A shard above SHARD_ROWS is worked off in pairs of blocks (``low``, ``high``), so that every two of its vectors meet
-    in some pair and no task holds more than two blocks.
+    A cell consists of blocks of those who live there and then blocks of visitors, ``own`` is the block of the row. Every
+    block of the first kind meets itself and every other one in a group (``low``, ``high``) of two blocks at most.
     """
     kind = units.schema["label"].dataType.simpleString()
     parts = units.groupBy("label").agg(F.ceil(F.count("*") / ASSIGN_ROWS).cast("int").alias("parts"))
-    dealt = units.join(parts, "label").select("label", "rep", "unit", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
+    dealt = units.join(parts, "label").select(
+        "label", "rep", "unit", "copies", F.pmod(F.xxhash64("rep"), "parts").alias("part")
+    )
     copied = centres(units).join(parts, "label")
     copied = copied.select("label", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
 
     def assign(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[["label", "rep", "unit"]]
+        rows = rows[["label", "rep", "unit", "copies"]]
         if not len(rows) or not len(found):
-            return rows.assign(shard=0)
+            return rows.assign(cell=0, lives=True)
         points = np.stack(rows["unit"].to_numpy())
-        near = points @ np.frombuffer(found["centres"].iloc[0]).reshape(-1, points.shape[1]).T
-        best = np.argsort(-near, axis=1, kind="stable")[:, :OVERLAP]
-        return pd.concat([rows.assign(shard=best[:, k]) for k in range(best.shape[1])])
+        centre = np.frombuffer(found["centres"].iloc[0]).reshape(-1, points.shape[1])
+        home, visits = visited(points @ centre.T, centre)
+        at, cell = np.nonzero(visits)
+        return pd.concat([rows.assign(cell=home, lives=True), rows.iloc[at].assign(cell=cell, lives=False)])
 
     both = dealt.groupBy("label", "part").cogroup(copied.groupBy("label", "part"))
-    placed = staged(both.applyInPandas(assign, f"label {kind}, rep long, unit array<double>, shard int"), "shards")
-    sizes = placed.groupBy("label", "shard").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / SHARD_ROWS).cast("int")
-    blocked = placed.join(sizes.select("label", "shard", blocks.alias("blocks")), ["label", "shard"])
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (F.col("blocks") == 1) | (b != own))
-    return blocked.withColumn("other", F.explode(others)).select(
-        "label", "shard", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"), "rep", "unit"
+    placed = both.applyInPandas(
+        assign, f"label {kind}, rep long, unit array<double>, copies long, cell int, lives boolean"
     )
-
-
-def pruned(points: np.ndarray, own: int, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Robust prune: the nearest candidate stays and drops those that are alpha times closer to it than to the point."""
-    near = points[candidates] @ points[own]
-    order = candidates[np.argsort(-near, kind="stable")]
-    far = np.sqrt(np.maximum(0.0, 2 - 2 * (points[order] @ points[own])))
-    between = np.sqrt(np.maximum(0.0, 2 - 2 * (points[order] @ points[order].T)))
-    alive = np.ones(len(order), dtype=bool)
-    taken: list[int] = []
-    for at in range(len(order)):
-        if alive[at]:
-            taken.append(int(order[at]))
-            if len(taken) == degree:
-                break
-            alive &= alpha * between[at] > far
-    return taken
-
-
-def medoid(points: np.ndarray) -> int:
-    return int((points @ points.mean(axis=0)).argmax())
-
-
-def build_graph(points: np.ndarray) -> list[list[int]]:
-    """Neighbour lists of a flat graph: near candidates and some far ones, robust-pruned, with edges back."""
-    n = len(points)
-    rng = np.random.default_rng(n)
-    centre = medoid(points)
-    graph: list[list[int]] = []
-    for start in range(0, n, 256):
-        near = points[start : start + 256] @ points.T
-        keep = min(CANDIDATES + 1, n)
-        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-        for row, own in enumerate(range(start, min(start + 256, n))):
-            found = np.unique(np.concatenate([best[row], rng.integers(0, n, LONG_RANGE), [centre]]))
-            graph.append(pruned(points, own, found[found != own]))
-    back: list[set[int]] = [set(x) for x in graph]
-    for own, found in enumerate(graph):
-        for other in found:
-            back[other].add(own)
-    for own, found in enumerate(back):
-        if len(found) > 2 * DEGREE:
-            graph[own] = pruned(points, own, np.array(sorted(found)), 2 * DEGREE)
-        else:
-            graph[own] = sorted(found)
-    return graph
-
-
-def search_graph(points: np.ndarray, graph: list[list[int]], threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """For every point those within ``threshold``: greedy search from the medoid with a beam, then over all in range.
-
-    The point is itself a node of the graph, so its own neighbours join its first beam.
-    """
-    n = len(points)
-    width = max((len(x) for x in graph), default=0)
-    table = np.full((n, max(1, width)), -1, dtype=np.int64)
-    for own, found in enumerate(graph):
-        table[own, : len(found)] = found
-    centre = medoid(points)
-    left, right = [], []
-    for start in range(0, n, 128):
-        queries = np.arange(start, min(start + 128, n))
-        rows = np.arange(len(queries))
-        seen = np.zeros((len(queries), n), dtype=bool)
-        done = np.zeros((len(queries), n), dtype=bool)
-        near = np.full((len(queries), n), -2.0)
-
-        def visit(at: np.ndarray, nodes: np.ndarray, queries=queries, seen=seen, near=near) -> None:
-            new = (nodes >= 0) & ~seen[at, nodes]
-            at, nodes = at[new], nodes[new]
-            seen[at, nodes] = True
-            near[at, nodes] = np.einsum("ij,ij->i", points[queries[at]], points[nodes])
-
-        visit(np.concatenate([rows, rows]), np.concatenate([np.full(len(rows), centre), queries]))
-        beam = min(BEAM, n)
-        while True:  # expand the nearest node of each beam that is not yet expanded
-            best = np.argpartition(-near, beam - 1, axis=1)[:, :beam]
-            open_ = np.where(done[rows[:, None], best] | ~seen[rows[:, None], best], -3.0, near[rows[:, None], best])
-            pick = open_.argmax(axis=1)
-            going = open_[rows, pick] > -2.5
-            if not going.any():
-                break
-            at, nodes = rows[going], best[rows, pick][going]
-            done[at, nodes] = True
-            visit(np.repeat(at, table.shape[1]), table[nodes].ravel())
-        while True:  # the range grows from everything found in it
-            at, nodes = np.nonzero((near >= threshold - SLACK) & ~done)
-            if not len(at):
-                break
-            done[at, nodes] = True
-            for part in range(0, len(at), 20_000):
-                chunk = slice(part, part + 20_000)
-                pairs = np.unique(np.repeat(at[chunk], table.shape[1]) * (n + 1) + table[nodes[chunk]].ravel() + 1)
-                visit(pairs // (n + 1), pairs % (n + 1) - 1)
-        at, nodes = np.nonzero(near >= threshold)
-        left.append(queries[at])
-        right.append(nodes)
-    pairs = (np.concatenate(left), np.concatenate(right)) if left else (np.array([], dtype=np.int64),) * 2
-    ahead = pairs[0] < pairs[1]
-    behind = pairs[0] > pairs[1]
-    both = np.unique(
-        np.concatenate([pairs[0][ahead] * n + pairs[1][ahead], pairs[1][behind] * n + pairs[0][behind]])
+    placed = staged(placed, "cells")
+    blocks = lambda lives: F.ceil(F.count_if(lives) / CELL_ROWS).cast("int")
+    sizes = placed.groupBy("label", "cell").agg(
+        blocks(F.col("lives")).alias("homes"), blocks(~F.col("lives")).alias("guests")
     )
-    return both // max(n, 1), both % max(n, 1)
-
-
-def near_pairs(units: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """Links (``a`` < ``b``) of representatives, each verified in double precision, once."""
-    groups = ["label", "shard", "low", "high"]
+    # A cell where nobody lives has no links.
+    blocked = placed.join(sizes.filter("homes > 0"), ["label", "cell"])
+    spread = F.xxhash64("rep", F.lit(1))
+    own = F.when(F.col("lives"), F.pmod(spread, "homes")).otherwise(F.col("homes") + F.pmod(spread, "guests")).cast("int")
+    last = F.when(F.col("lives"), F.col("homes") + F.col("guests")).otherwise(F.col("homes")) - 1
+    dealt = blocked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select(
+        "label", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "own", "rep", "unit", "copies",
+    )
+
+
+def compare(left: np.ndarray, right: np.ndarray, same: bool, threshold: float = COSINE) -> np.ndarray:
+    """Which rows of ``left`` link with which of ``right``; ``same`` if both are one block, whose diagonal is no link."""
+    linked = np.empty((len(left), len(right)), dtype=bool)
+    for at in range(0, len(left), SLICE_ROWS):
+        linked[at : at + SLICE_ROWS] = left[at : at + SLICE_ROWS] @ right.T >= threshold
+    if same:
+        np.fill_diagonal(linked, False)
+    return linked
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stars with the components of the links: (row, row) and (row, column) index pairs, at most one per row and column."""
+    across = np.ascontiguousarray(linked.T)
+    free_row, free_column = linked.any(axis=1), np.ones(linked.shape[1], dtype=bool)
+    stars: tuple[list, list, list, list] = ([], [], [], [])
+    for seed in np.flatnonzero(free_row):
+        if not free_row[seed]:
+            continue
+        free_row[seed] = False
+        rows = np.array([seed])
+        while len(rows):
+            columns = np.flatnonzero(linked[rows].any(axis=0) & free_column)
+            free_column[columns] = False
+            stars[2].append(np.full(len(columns), seed))
+            stars[3].append(columns)
+            rows = np.flatnonzero(across[columns].any(axis=0) & free_row)
+            free_row[rows] = False
+            stars[0].append(np.full(len(rows), seed))
+            stars[1].append(rows)
+    return tuple(np.concatenate(x) if x else np.array([], dtype=np.int64) for x in stars)  # type: ignore[return-value]
+
+
+def linked_counts(units: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """(``rep``, ``others``): the rows that each representative links with, and (``a``, ``b``): pairs with the same components.
+
+    Every two vectors of a label that can link meet in one group and are compared there in double precision. Links are
+    counted where they are found, so a large group of near-equal vectors does not make rows by its pairs.
+    """
     held = staged(members(units), "members")
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["rep"].to_numpy()
-        graph = build_graph(np.stack(rows["unit"].to_numpy()))
-        return pd.DataFrame({"rep": ids, "near": [ids[x] for x in graph]})
-
-    lists = held.groupBy(*groups).applyInPandas(build, "rep long, near array<long>")
-    union = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["rep"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        points, ids = np.stack(rows["unit"].to_numpy())[order], ids[order]
-        graph = []
-        for near in rows["near"].to_numpy()[order]:
-            at = np.searchsorted(ids, near)
-            inside = at < len(ids)
-            inside[inside] = ids[at[inside]] == near[inside]
-            graph.append(at[inside].tolist())
-        left, right = search_graph(points, graph, threshold)
-        return pd.DataFrame({"a": ids[left], "b": ids[right]})
-
-    graph = staged(held.join(union, "rep"), "graph")
-    return graph.groupBy(*groups).applyInPandas(search, "a long, b long").distinct()
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, _, low, high = key
+        sides = [rows[rows["own"] == low], rows[rows["own"] == high]]
+        made = pd.DataFrame({"a": [], "b": [], "others": []}, dtype="Int64")
+        if not len(sides[0]) or not len(sides[1]):
+            return made
+        points = [np.stack(x["unit"].to_numpy()) for x in sides]
+        ids, copies = [x["rep"].to_numpy() for x in sides], [x["copies"].to_numpy() for x in sides]
+        linked = compare(*points, low == high, threshold)
+        if not linked.any():
+            return made
+        totals = [(ids[0], linked @ copies[1])] + ([(ids[1], copies[0] @ linked)] if low != high else [])
+        row, mate, hub, column = forest(linked)
+        stars = [(ids[0][row], ids[0][mate]), (ids[0][hub], ids[1][column])]
+        counted = [pd.DataFrame({"a": a[n > 0], "others": n[n > 0]}) for a, n in totals]
+        paired = [pd.DataFrame({"a": a, "b": b}) for a, b in stars]
+        return pd.concat([*counted, *paired])[["a", "b", "others"]].astype("Int64")
+
+    found = held.groupBy("label", "cell", "low", "high").applyInPandas(count, "a long, b long, others long")
+    found = staged(found, "counts")
+    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
+    return counts, found.filter("b IS NOT NULL").select("a", "b")
 
 
 def near_duplicates(
@@ -255,11 +207,8 @@ def near_duplicates(
     """
     rows, units = representatives(vectors, id_col, vector_col, label_col)
     rows, units = staged(rows, "vectors"), staged(units, "units")
-    links = staged(near_pairs(units), "pairs")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = units.select(F.col("rep").alias("b"), "copies")
-    linked = both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
-    reached = components(links).withColumnRenamed("node", "rep")
+    linked, stars = linked_counts(units)
+    reached = components(stars).withColumnRenamed("node", "rep")
     known = units.select("rep", "copies").join(linked, "rep", "left").join(reached, "rep", "left")
     known = known.select(
         "rep",
@@ -276,16 +225,15 @@ def near_duplicates(
     )
 
 
-def recall(vectors: pd.DataFrame, links: pd.DataFrame, queries: Column | None = None) -> float:
-    """Share of the true links (brute force) of the rows with ``vec_id`` divisible by 20 that ``links`` holds."""
-    have = set(zip(links["a"], links["b"], strict=True))
+def recall(units: pd.DataFrame, others: dict[int, int]) -> float:
+    """Share of the true links (brute force) of the ``rep`` divisible by 20 that ``others`` counts, copies included."""
     true, found = 0, 0
-    for _, rows in vectors.groupby("label"):
-        ids = rows["rep"].to_numpy()
+    for _, rows in units.groupby("label"):
+        ids, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
         points = np.stack(rows["unit"].to_numpy())
         for at in np.flatnonzero(ids % 20 == 0):
-            for other in np.flatnonzero(points @ points[at] >= COSINE):
-                if other != at:
-                    true += 1
-                    found += (min(ids[at], ids[other]), max(ids[at], ids[other])) in have
+            close = points @ points[at] >= COSINE
+            close[at] = False
+            true += int(copies[close].sum())
+            found += min(others.get(int(ids[at]), 0), int(copies[close].sum()))
     return found / true if true else 1.0

@@ -313,3 +313,35 @@ def test_embeddings(spark):
     assert all(made[r[0]].n_links <= n for r, n in zip(fit, close.sum(axis=1), strict=True)) and found >= 0.97 * close.sum()
     assert all(made[k].n_links == 0 and made[k].component_id == k and made[k].kept for k in range(3000, 3005))
     assert len(made) == len(rows) and neighbours.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_embeddings_of_a_dense_group(spark):
+    """A large group of one label whose links reach over many cells and blocks: every link counts, and one component."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(14_000, 32))
+    points[:6_000] = 3.6 * np.sign(points[0]) + rng.normal(size=(6_000, 32))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    close = points @ points.T >= neighbours.COSINE
+    assert 0.1 < close[:6_000, :6_000].mean() < 0.9
+    rows = [(k, points[k].tolist(), 1) for k in range(len(points))]
+    made = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
+    made = made.set_index("vec_id").sort_index()
+    assert made.n_links.tolist() == (close.sum(axis=1) - 1).tolist()
+    left, right = np.nonzero(close)
+    assert (made.component_id.to_numpy()[left] == made.component_id.to_numpy()[right]).all()
+    assert (made.component_id <= made.index).all() and made.kept.sum() == made.component_id.nunique()
+
+
+def test_cells_hold_every_link():
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(12, 24))
+    centre[:6] = centre[0] + rng.normal(size=(6, 24)) * 0.3
+    points = np.vstack([centre[rng.integers(0, 6, 900)] + rng.normal(size=(900, 24)) * 0.3, rng.normal(size=(300, 24))])
+    centre, points = (x / np.linalg.norm(x, axis=1)[:, None] for x in (centre, points))
+    home, visits = neighbours.visited(points @ centre.T, centre)
+    left, right = np.nonzero(points @ points.T >= neighbours.COSINE)
+    apart = home[left] != home[right]
+    meets = visits[left, home[right]].astype(int) + visits[right, home[left]]
+    assert apart.any() and (meets == apart).all() and visits.mean() < 0.5
+    stars = neighbours.forest(neighbours.compare(points, points, True))
+    assert len(stars[0]) <= len(points) and len(stars[2]) <= len(points)

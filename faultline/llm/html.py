@@ -62,19 +62,23 @@ class _Place:
     """What holds for the text at hand, from the open elements."""
 
     open: list[tuple[str, bool, bool, bool, bool]] = field(default_factory=list)
+    at: dict[str, list[int]] = field(default_factory=dict)  # where each element name stands in ``open``
 
     def enter(self, name: str, attributes: str) -> None:
         boiler, main, link, head = self.state
         names = _WORDS.findall(" ".join(a or b or c for a, b, c in _NAMED.findall(attributes)))
         marked = any(w.lower() in _MARKS for w in names) and name not in ("body", "html")
         own = name in _BOILER or marked or (name == "header" and not main) or bool(_HIDDEN.search(attributes))
+        self.at.setdefault(name, []).append(len(self.open))
         self.open.append((name, boiler or own, main or name in _MAIN, link or name == "a", head or name[:1] == "h" and name[1:].isdigit()))
 
     def leave(self, name: str) -> None:
-        for at in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[at][0] == name:
-                del self.open[at:]
-                return
+        if not self.at.get(name):
+            return
+        at = self.at[name][-1]
+        for left in self.open[at:]:
+            self.at[left[0]].pop()
+        del self.open[at:]
 
     @property
     def state(self) -> tuple[bool, bool, bool, bool]:

@@ -237,6 +237,23 @@ def test_html(spark):
     assert made[3].text == " ".join(["word"] * 40) and [r.n_chars for r in made] == [len(r.text) for r in made]
 
 
+def test_html_end_tag_over_many_open_elements():
+    rows = "<tr><td>text" * 150
+    body = f"<aside><table>{rows}</table></aside><article><p>{'word ' * 40}</article>"
+    found = html.blocks(body)
+    assert [b.boiler for b in found] == [True] * 150 + [False] and found[-1].main and found[-1].words == 40
+    place = html._Place()
+    for name in ["div", *["td"] * 1000, "b"]:
+        place.enter(name, "")
+    place.leave("i")
+    assert len(place.open) == 1002
+    place.leave("td")
+    place.leave("b")
+    assert len(place.open) == 1000 and len(place.at["td"]) == 999
+    place.leave("div")
+    assert not place.open and not any(place.at.values())
+
+
 def test_quality(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet".replace("sf0.001", "sf0.1"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet".replace("sf0.001", "sf0.1"))

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 6
 
 # Element names of the markup language.
-_UNSEEN = "script|style|noscript|template|svg|iframe|object|canvas|head|title|textarea|select|math|audio|video"
+# Plain text up to their end tag or else the end of the page.
+_RAW = frozenset("script style title textarea".split())
+# Closed by "/>" too.
+_EMBEDDED = frozenset("svg math iframe object canvas audio video".split())
+_UNSEEN = _RAW | _EMBEDDED | frozenset("noscript template select".split())
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _UNSEEN}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -34,7 +39,6 @@ _MARKS = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({_UNSEEN})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z][^>]*\Z",
@@ -107,12 +111,24 @@ def blocks(page: str) -> list[Block]:
             if place.state[2]:
                 linked += len(text.split())
 
-    for tag in _TOKEN.finditer(page):
+    ends: dict[str, tuple[int, int]] = {}  # next end tag of each unseen element
+
+    while tag := _TOKEN.search(page, at):
         add(page[at : tag.start()])
         at = tag.end()
-        name = (tag[3] or "").lower()
-        if not name:
+        name = (tag[2] or "").lower()
+        # What is not seen in a head is so by itself; anything else in it ends it.
+        if not name or name == "head":
             continue
+        if name in _UNSEEN and not tag[1]:
+            if name in _EMBEDDED and tag[3].endswith("/"):
+                continue
+            if name not in ends or ends[name][0] < at:
+                end = _ENDS[name].search(page, at)
+                ends[name] = end.span() if end else (len(page), len(page) if name in _RAW else -1)
+            if ends[name][1] >= 0:
+                at = ends[name][1]
+                continue
         if name == "br":
             pieces.append(" ")
         elif name in _VOID and name != "hr":
@@ -120,12 +136,12 @@ def blocks(page: str) -> list[Block]:
         else:
             if name in _BLOCK:
                 close()
-            if tag[2]:
+            if tag[1]:
                 place.leave(name)
             elif name != "hr":
                 if name in ("p", "li") and place.open and place.open[-1][0] == name:
                     place.leave(name)
-                place.enter(name, tag[4] or "")
+                place.enter(name, tag[3] or "")
             if not pieces:
                 state = place.state
     add(page[at:])
@@ -237,7 +253,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(``page_id``, ``url``, ``text``, ``n_chars``, ``n_main``, ``n_blocks``) per row of ``pages``.
 
     The tree is fitted on the small table of labelled blocks above and applied to every page. Missing and empty html, and
-    pages without main text, give the empty text. Elements left open end with their parent; a tag cut off at the end of a
+    pages without main text, give the empty text. Elements left open end with their parent, also those that are not seen
+    otherwise, except script, style, title and textarea; a tag cut off at the end of a
     page is dropped. Repeated rows give repeated rows, other columns are not looked at.
     """
     tree = grow(*labelled_blocks())

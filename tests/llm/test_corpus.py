@@ -254,6 +254,19 @@ def test_html_end_tag_over_many_open_elements():
     assert not place.open and not any(place.at.values())
 
 
+def test_html_unseen_elements_keep_the_article():
+    article = f"<article><p>{'word ' * 40}</article>"
+    kept = " ".join(["word"] * 40)
+    tree = html.grow(*html.labelled_blocks())
+    heads = ["<head><meta charset=x><title>T</title><script>'<div>'</script>", "<head><title>T</title><body>", "<head-bar>", "<title-x>"]
+    embedded = ["<svg viewBox='0 0 1 1'/>", "<svg/>", "<iframe src='x' />", "<video controls>", "<object data=x>", "<math />"]
+    for before in [*heads, *embedded, "<video-player>", "<template-x></template-x>", "<svg/>" * 3 + "<svg>no</svg>"]:
+        assert html.main_text(before + article, tree)[0] == kept, before
+    for hidden in ["<head><style>p</style></head>", "<SVG a='>'>no</svg>", "<select><option>no</select>", "<script src=x />no</script>"]:
+        assert [b.text for b in html.blocks(hidden + article)] == [kept], hidden
+    assert html.blocks("<script>never closed <p>no") == [] and len(html.blocks("<object>x" * 20_000)) == 1
+
+
 def test_quality(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet".replace("sf0.001", "sf0.1"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet".replace("sf0.001", "sf0.1"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +28,11 @@ _KEEP = bytes(
 )
 
 
+def named_first(items: Iterable[str | None]) -> list[str | None]:
+    """Items in order; one null at the end stands for those without id."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_KEEP).split()
 
@@ -36,16 +42,16 @@ class TestWindows:
 
     __test__ = False
 
-    def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW_WORDS):
+    def __init__(self, items: Iterable[tuple[str | None, bytes]], window: int = WINDOW_WORDS):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item_id, text in items:
             ids = [number(w, len(self.vocabulary) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(tuple(ids[at : at + window]), set()).add(item_id)
-        self.items = [sorted(x) for x in owners.values()]
+        self.items = [named_first(x) for x in owners.values()]
         self.lengths = np.array([len(x) for x in owners], dtype=np.int64)
         self.words = np.zeros((len(owners), window), dtype=np.int64)
         for row, ids in zip(self.words, owners, strict=True):
@@ -93,13 +99,13 @@ def _bounds(ids: np.ndarray, order: np.ndarray, tests: TestWindows, upper: bool)
     return low
 
 
-def search_shard(texts: list[bytes], blocks: Iterable[TestWindows]) -> list[tuple[int, list[str], list[tuple[int, int]]]]:
+def search_shard(texts: list[bytes], blocks: Iterable[TestWindows]) -> list[tuple[int, list[str | None], list[tuple[int, int]]]]:
     """Per text: number of words, ids of the items found, verbatim runs (first word, end)."""
     words = [words_of(t) for t in texts]
     lengths = np.array([len(x) for x in words], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths + 1)))  # a 0 between documents
     edges = np.zeros(int(starts[-1]) + 2, dtype=np.int64)
-    found: list[set[str]] = [set() for _ in texts]
+    found: list[set[str | None]] = [set() for _ in texts]
     for tests in blocks:
         get = tests.vocabulary.get
         ids = np.zeros(int(starts[-1]) + 1, dtype=np.int64)
@@ -121,32 +127,43 @@ def search_shard(texts: list[bytes], blocks: Iterable[TestWindows]) -> list[tupl
     for a, b in turns.reshape(-1, 2).tolist():
         d = int(np.searchsorted(starts, a, side="right")) - 1
         runs[d].append((a - int(starts[d]), b - int(starts[d])))
-    return [(int(n), sorted(items), own) for n, items, own in zip(lengths, found, runs, strict=True)]
+    return [(int(n), named_first(items), own) for n, items, own in zip(lengths, found, runs, strict=True)]
 
 
 def written_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[str]:
-    """Write the benchmark's items to the shared folder: files of at most ``block_bytes`` of text, or of one longer item."""
+    """Write the benchmark's items to the shared folder: files of at most ``block_bytes`` of text, or of one longer item.
+
+    Tasks write the files, about one each, and return their paths; what a failed attempt wrote is not looked at.
+    """
     folder = stage_path(benchmark.sparkSession, "benchmark")
-    paths: list[str] = []
-    block: list[tuple[str, bytes]] = []
+    items = benchmark.filter(F.col(text_col).isNotNull())
+    items = items.select(F.col(id_col).cast("string").alias("item"), text_bytes(text_col).alias("body"))
+    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
 
-    def write() -> None:
-        paths.append(f"{folder}/block-{len(paths):05d}.parquet")
-        store, inner = shared_file(paths[-1])
+    def write(block: list[tuple[str | None, bytes]]) -> str:
+        path = f"{folder}/block-{uuid.uuid4().hex}.parquet"
+        store, inner = shared_file(path)
         store.create_dir(inner.rpartition("/")[0], recursive=True)
         columns = {"item": pa.array([x for x, _ in block], pa.string()), "body": pa.array([x for _, x in block], pa.binary())}
         pq.write_table(pa.table(columns), inner, filesystem=store)
+        return path
 
-    held = 0
-    items = benchmark.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    for item, body in items.select(F.col(id_col).cast("string"), text_bytes(text_col)).toLocalIterator():
-        if block and held + len(body) > block_bytes:
-            write()
-            block, held = [], 0
-        block.append((item, bytes(body)))
-        held += len(body)
-    write()
-    return paths
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: list[str] = []
+        block: list[tuple[str | None, bytes]] = []
+        held = 0
+        for item, body in rows_of(batches):
+            if block and held + len(body) > block_bytes:
+                paths.append(write(block))
+                block, held = [], 0
+            block.append((item, body))
+            held += len(body)
+        if block:
+            paths.append(write(block))
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    dealt = items.repartition(max(1, -(-int(total) // block_bytes)))
+    return sorted(r.path for r in dealt.mapInArrow(run, "path string").collect())
 
 
 def contamination(
@@ -164,8 +181,8 @@ def contamination(
 
     Each task sorts the suffixes of its documents in shards and binary-searches every window of the benchmark in them.
     ``runs`` are the verbatim matches as (first word, end); matches that touch are one run. An item shorter than a window
-    is a window. Missing and empty texts have no words, items without words or id are never found, equal items are all
-    named. Repeated rows give repeated rows, no rows give none, an empty benchmark hits nothing. Tasks read the
+    is a window. Missing and empty texts have no words, items without words are never found, equal items are all
+    named, and all items without id together are one null name at the end of ``items``. Repeated rows give repeated rows, no rows give none, an empty benchmark hits nothing. Tasks read the
     benchmark in files of ``block_bytes``, one at a time, so its size is not limited by their memory.
     """
     paths = written_blocks(benchmark, item_col, item_text_col, block_bytes)

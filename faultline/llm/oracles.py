@@ -86,3 +86,48 @@ ARCHIVES = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FR
     CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN first_id <> page_id THEN first_id END AS refers_to
     FROM payloads LEFT JOIN firsts USING (payload)"""
+
+FILTER_AUDIT = r"""WITH texts AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents),
+  sized AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM texts),
+  judged AS (SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels GROUP BY doc_id),
+  firsts AS (SELECT body, min(doc_id) AS least FROM texts GROUP BY body),
+  marked AS MATERIALIZED (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+      (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+      + 4 * (100 * len(regexp_extract_all(body, '[A-Z]')) > 10 * length(body))::int
+      + 8 * regexp_matches(body, '[#$%&*|]')::int + 16 * coalesce(doc_id > least, false)::int AS mask
+    FROM sized LEFT JOIN judged USING (doc_id) JOIN firsts USING (body)),
+  tallies AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM marked GROUP BY ALL),
+  letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  steps AS (SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS own,
+      list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1))) AS earlier
+    FROM orders, (SELECT unnest(range(1, 6))::int AS step)),
+  seen AS (SELECT part, filter_order, step, own, n, good, toxic, mask = own AS alone, mask & own > 0 AS fails,
+      mask & coalesce(earlier, 0)::int > 0 AS gone FROM steps, tallies),
+  counted AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::bigint AS kept,
+      coalesce(sum(n) FILTER (fails AND NOT gone), 0)::bigint AS removed,
+      coalesce(sum(n) FILTER (fails AND gone), 0)::bigint AS redundant,
+      coalesce(sum(n) FILTER (alone), 0)::bigint AS unique_fails,
+      coalesce(sum(good) FILTER (fails AND NOT gone), 0)::bigint AS good_lost,
+      coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::bigint AS toxic_lost FROM seen GROUP BY ALL)
+  SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley FROM counted"""
+
+COLLOCATIONS = rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  split AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM split, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+  counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+  totals AS (SELECT lang, sum(f)::bigint AS n FROM counts WHERE k = 1 GROUP BY lang),
+  cand AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+  cuts AS (SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+    FROM cand, (SELECT unnest([1, 2]) AS cut) WHERE cut < k),
+  scored AS (SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = rest),
+  worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  inner_pairs AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, f FROM cand WHERE k = 3),
+  longer AS (SELECT lang, phrase, max(f) AS f FROM inner_pairs GROUP BY ALL),
+  kept AS (SELECT w.* FROM worst w LEFT JOIN longer g USING (lang, phrase) WHERE g.f IS NULL OR 100 * g.f < 50 * w.a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""

@@ -20,6 +20,7 @@ LONGEST = 3
 LEAST = 10
 PART_PERCENT = 50
 TOP = 2_000
+SLICES = 64
 # A pair of words ends a chunk if its hash is divisible by this; a chunk without such a pair ends after CHUNK_WORDS.
 TRIGGER = 24
 CHUNK_WORDS = 256
@@ -260,8 +261,12 @@ def collocations(
     kept = worst.join(longer, ["lang", "phrase"], "left").filter(
         F.col("longer").isNull() | (100 * F.col("longer") < PART_PERCENT * F.col("a"))
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    # The best of each slice of a language first: one task then ranks SLICES times ``top`` phrases at most.
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    near = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order)))
+    best = Window.partitionBy("lang").orderBy(*order)
+    ranked = near.filter(F.col("rank") <= top).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a",
         F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"),

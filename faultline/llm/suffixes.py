@@ -317,28 +317,24 @@ def _sorted_marks(bodies: DataFrame) -> DataFrame:
 
 
 def _filed_again(bodies: DataFrame, gram: int) -> DataFrame:
-    """Passages of large files, cut and filed by a longer string: their part from window ``at`` on is (``file2``, ``digest2``)."""
+    """Passages of large files, cut and filed by a longer string: their part from window ``at`` on is (``file2``, ``digest2``).
+
+    Only keys: most of the parts go before anything needs their bytes.
+    """
+    names = ["file", "digest", "copies", "at", "windows", "named", "file2", "digest2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "digest", "copies", "at", "windows", "named", "file2", "digest2", "body"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 found = []
                 for file, digest, _, copies, body in rows_of([batch.slice(at, 256)]):
                     for key, start, count, named in passages(body, gram):
-                        part = body[start : start + count + WINDOW - 1]
-                        mark = xxhash.xxh3_64_intdigest(part) - (1 << 63)
-                        found.append((file, digest, copies, start, count, named * copies, key, mark, part))
-                kinds = [pa.int64()] * 8 + [pa.binary()]
-                columns = zip(*found, strict=True) if found else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
-                )
-
-    return bodies.mapInArrow(
-        run,
-        "file long, digest long, copies long, at long, windows long, named long, file2 long, digest2 long, body binary",
-    )
+                        mark = xxhash.xxh3_64_intdigest(body[start : start + count + WINDOW - 1]) - (1 << 63)
+                        found.append((file, digest, copies, start, count, named * copies, key, mark))
+                columns = zip(*found, strict=True) if found else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return bodies.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _shifted(by: str) -> Column:
@@ -363,12 +359,18 @@ def _marks(each: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], level:
     parts = staged(_filed_again(bodies_of(each.join(large, "file", "left_semi")), GRAMS[level + 1]), "parts")
     shared = parts.groupBy("file2").agg(F.sum("named").alias("n")).filter("n > 1").select("file2")
     links = parts.join(shared, "file2")
-    subs = links.groupBy(F.col("file2").alias("file"), F.col("digest2").alias("digest")).agg(
-        F.first("windows").alias("windows"), F.sum("copies").alias("copies"), F.first("body").alias("body")
+    subs = links.groupBy("file2", "digest2").agg(
+        F.sum("copies").alias("copies"), F.min(F.struct("file", "digest", "at", "windows")).alias("part")
+    )
+    # A part is cut from the document that its passage was found in.
+    home = each.select("file", "digest", "doc", "tie", F.col("start").alias("from"))
+    placed = subs.select("file2", "digest2", "copies", "part.*").join(home, ["file", "digest"]).select(
+        F.col("file2").alias("file"), F.col("digest2").alias("digest"), "copies", "doc", "tie",
+        (F.col("from") + F.col("at")).alias("start"), "windows",
+    )
+    found = _marks(staged(placed, "subs"), bodies_of, level + 1).select(
+        F.col("file").alias("file2"), F.col("digest").alias("digest2"), "runs"
     )
-    found = _marks(
-        staged(subs, "subs"), lambda some: some.select("file", "digest", "windows", "copies", "body"), level + 1
-    ).select(F.col("file").alias("file2"), F.col("digest").alias("digest2"), "runs")
     again = links.select("file", "digest", "at", "file2", "digest2").join(found, ["file2", "digest2"])
     return marks.unionByName(again.select("file", "digest", _shifted("at").alias("runs")))
 
@@ -390,8 +392,12 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").alias("copies"), F.min(F.struct("doc", "tie", "start", "windows")).alias("home")
     )
     each = staged(each.select("file", "digest", "copies", "home.*"), "homes")
-    marks = _marks(each, lambda some: _bodies(rows, some))
-    spans = found.select("file", "digest", "doc", "tie", "start").join(marks, ["file", "digest"])
+    once, places = rows, found.select("file", "digest", "doc", "tie", "start")
+    if not rows.groupBy("doc", "tie").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        # Rows that share id and text are counted above; from here on one of them stands for all.
+        once, places = rows.dropDuplicates(["doc", "tie"]), places.distinct()
+    marks = _marks(each, lambda some: _bodies(once, some))
+    spans = places.join(marks, ["file", "digest"])
     spans = spans.select("doc", "tie", _shifted("start").alias("runs"))
     per_doc = spans.groupBy("doc", "tie").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 

@@ -337,6 +337,16 @@ def _filed_again(bodies: DataFrame, gram: int) -> DataFrame:
     return bodies.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def _cut_again(held: DataFrame, subs: DataFrame) -> DataFrame:
+    """(``file``, ``digest``, ``windows``, ``copies``, ``body``) of parts, cut from the passages ``held``."""
+    wanted = subs.select(
+        F.col("part.file").alias("of"), F.col("part.digest").alias("in"), "part.at", "part.windows", "file", "digest", "copies"
+    )
+    whole = held.select(F.col("file").alias("of"), F.col("digest").alias("in"), F.col("body").alias("whole"))
+    body = F.expr(f"substring(whole, cast(at + 1 as int), cast(windows + {WINDOW - 1} as int))").alias("body")
+    return wanted.join(whole, ["of", "in"]).select("file", "digest", "windows", "copies", body)
+
+
 def _shifted(by: str) -> Column:
     return F.transform(
         "runs", lambda r: F.struct((r["first"] + F.col(by)).alias("first"), (r["end"] + F.col(by)).alias("end"))
@@ -356,19 +366,15 @@ def _marks(each: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], level:
     marks = _sorted_marks(bodies_of(each.join(large, "file", "left_anti")))
     if large.isEmpty():
         return marks
-    parts = staged(_filed_again(bodies_of(each.join(large, "file", "left_semi")), GRAMS[level + 1]), "parts")
+    held = staged(bodies_of(each.join(large, "file", "left_semi")), "held")
+    parts = staged(_filed_again(held, GRAMS[level + 1]), "parts")
     shared = parts.groupBy("file2").agg(F.sum("named").alias("n")).filter("n > 1").select("file2")
     links = parts.join(shared, "file2")
     subs = links.groupBy("file2", "digest2").agg(
         F.sum("copies").alias("copies"), F.min(F.struct("file", "digest", "at", "windows")).alias("part")
     )
-    # A part is cut from the document that its passage was found in.
-    home = each.select("file", "digest", "doc", "tie", F.col("start").alias("from"))
-    placed = subs.select("file2", "digest2", "copies", "part.*").join(home, ["file", "digest"]).select(
-        F.col("file2").alias("file"), F.col("digest2").alias("digest"), "copies", "doc", "tie",
-        (F.col("from") + F.col("at")).alias("start"), "windows",
-    )
-    found = _marks(staged(placed, "subs"), bodies_of, level + 1).select(
+    subs = staged(subs.select(F.col("file2").alias("file"), F.col("digest2").alias("digest"), "copies", "part"), "subs")
+    found = _marks(subs, lambda some: _cut_again(held, some), level + 1).select(
         F.col("file").alias("file2"), F.col("digest").alias("digest2"), "runs"
     )
     again = links.select("file", "digest", "at", "file2", "digest2").join(found, ["file2", "digest2"])

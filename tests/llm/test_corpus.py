@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -386,3 +387,12 @@ def test_cells_hold_every_link():
     assert apart.any() and (meets == apart).all() and visits.mean() < 0.5
     stars = neighbours.forest(neighbours.compare(points, points, True))
     assert len(stars[0]) <= len(points) and len(stars[2]) <= len(points)
+
+
+def test_html_tags_that_are_never_closed_take_linear_time():
+    tree = html.grow(*html.labelled_blocks())
+    article = f"<article><p>{'word ' * 40}</article>"
+    started = time.time()
+    for tail in ("<a" + "n" * 1_000_000, "<a " * 300_000, "<a b='" * 200_000, "<b" * 400_000, "<" * 1_000_000):
+        assert html.main_text(article + tail, tree)[0].startswith("word word")
+    assert time.time() - started < 15

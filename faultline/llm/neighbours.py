@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings: cells around centres, an exact bound on the cells that can hold a link, counts per block pair."""
+"""Near-duplicate embeddings by the flat graph of ``flatgraph``; an exact comparison over cells is its audit."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm import flatgraph
 from faultline.llm.common import components, staged
+from faultline.llm.flatgraph import forest
 
 COSINE = 0.93
 # Vectors of a cell or of a block of one; a label of more is cut along centres, a cell with more in pairs of blocks.
 CELL_ROWS = 4_096
-# Centres of a label come from so many of its vectors at most, the smallest hashes; further growth goes to the blocks.
-CENTRE_SAMPLE = 2_048
-MAX_CENTRES = 512
 # Vectors that one task assigns to centres at a time.
 ASSIGN_ROWS = 2_048
 # Rows of a block that are compared with the other block at a time.
@@ -22,54 +21,32 @@ SLICE_ROWS = 512
 
 
 def representatives(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (``vec_id``, ``rep``), and one unit vector (``label``, ``rep``, ``unit``, ``copies``) per distinct one.
+    """All rows (``vec_id``, ``rep``), and one row (``label``, ``rep``, ``least``, ``unit``, ``copies``) per distinct vector.
 
-    ``rep`` is the smallest id with the same label and vector; it is null where a vector cannot link with any.
+    ``rep`` numbers the different vectors of a label, ``least`` is the smallest id; ``rep`` is null where a vector cannot
+    link with any. The label carries the vector's length too, as vectors of different lengths have no cosine.
     """
     doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), doubles.alias("vector")
-    )
+    label = F.concat(F.col(label_col).cast("string"), F.lit(":"), F.size(vector_col).cast("string"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), doubles.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))
+    tested = rows.withColumn("fit", fit & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)))
+    groups = tested.filter("fit").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    groups = staged(groups.withColumn("rep", F.monotonically_increasing_id()), "groups")
+    # Divided by the largest component first, so that no square is lost or overflows.
+    scaled = groups.withColumn("most", F.array_max(F.transform("vector", F.abs))).withColumn(
+        "vector", F.transform("vector", lambda x: x / F.col("most"))
+    )
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & (length > 0)
-    tested = rows.withColumn("fit", fit)
-    groups = tested.filter("fit").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    units = groups.withColumn("n", length).select(
-        "label", "rep", F.transform("vector", lambda x: x / F.col("n")).alias("unit"), "copies"
+    units = scaled.withColumn("n", length).select(
+        "label", "rep", "least", F.transform("vector", lambda x: x / F.col("n")).alias("unit"), "copies"
     )
     owners = tested.filter("fit").join(groups.select("label", "vector", "rep"), ["label", "vector"]).select("vec_id", "rep")
     lone = tested.filter("NOT fit").select("vec_id", F.lit(None).cast("long").alias("rep"))
     return owners.unionByName(lone), units
 
 
-def centres(units: DataFrame) -> DataFrame:
-    """(``label``, ``centres``: doubles, one centre after the other) of each label with more vectors than a cell."""
-    sizes = units.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS)
-    draws = units.withColumn("draw", F.xxhash64("rep"))
-    # About CENTRE_SAMPLE vectors of the smallest hashes: the share of the hash range that holds them.
-    low, span = -(2.0**63), 2.0**64
-    sampled = draws.join(sizes, "label").filter(
-        (F.col("draw").cast("double") - low) / span <= F.lit(float(CENTRE_SAMPLE)) / F.col("n")
-    )
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("draw")
-        points = np.stack(rows["unit"].to_numpy())
-        wanted = min(MAX_CENTRES, int(np.ceil(rows["n"].iloc[0] / CELL_ROWS)), len(points))
-        found = points[:wanted].copy()
-        for _ in range(4):
-            nearest = (points @ found.T).argmax(axis=1)
-            sums = np.zeros_like(found)
-            np.add.at(sums, nearest, points)
-            length = np.linalg.norm(sums, axis=1, keepdims=True)
-            found = np.where(length > 0, sums / np.maximum(length, 1e-300), found)
-        return pd.DataFrame({"label": [rows["label"].iloc[0]], "centres": [found.tobytes()]})
-
-    kind = units.schema["label"].dataType.simpleString()
-    return sampled.groupBy("label").applyInPandas(cluster, f"label {kind}, centres binary")
-
-
 def visited(near: np.ndarray, centre: np.ndarray, threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each vector, and which other cells it visits, from its products ``near`` with the centres.
 
@@ -97,7 +74,7 @@ def members(units: DataFrame) -> DataFrame:
     dealt = units.join(parts, "label").select(
         "label", "rep", "unit", "copies", F.pmod(F.xxhash64("rep"), "parts").alias("part")
     )
-    copied = centres(units).join(parts, "label")
+    copied = flatgraph.centres(units, CELL_ROWS).join(parts, "label")
     copied = copied.select("label", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"))
 
     def assign(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -141,30 +118,8 @@ def compare(left: np.ndarray, right: np.ndarray, same: bool, threshold: float =
     return linked
 
 
-def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stars with the components of the links: (row, row) and (row, column) index pairs, at most one per row and column."""
-    across = np.ascontiguousarray(linked.T)
-    free_row, free_column = linked.any(axis=1), np.ones(linked.shape[1], dtype=bool)
-    stars: tuple[list, list, list, list] = ([], [], [], [])
-    for seed in np.flatnonzero(free_row):
-        if not free_row[seed]:
-            continue
-        free_row[seed] = False
-        rows = np.array([seed])
-        while len(rows):
-            columns = np.flatnonzero(linked[rows].any(axis=0) & free_column)
-            free_column[columns] = False
-            stars[2].append(np.full(len(columns), seed))
-            stars[3].append(columns)
-            rows = np.flatnonzero(across[columns].any(axis=0) & free_row)
-            free_row[rows] = False
-            stars[0].append(np.full(len(rows), seed))
-            stars[1].append(rows)
-    return tuple(np.concatenate(x) if x else np.array([], dtype=np.int64) for x in stars)  # type: ignore[return-value]
-
-
-def linked_counts(units: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """(``rep``, ``others``): the rows that each representative links with, and (``a``, ``b``): pairs with the same components.
+def exact_counts(units: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """The audit of ``flatgraph.linked_counts``: the same tables from an exact comparison, whose work nears rows x rows.
 
     Every two vectors of a label that can link meet in one group and are compared there in double precision. Links are
     counted where they are found, so a large group of near-equal vectors does not make rows by its pairs.
@@ -200,20 +155,20 @@ def near_duplicates(
 ) -> DataFrame:
     """(``vec_id``, ``n_links``, ``component_id``, ``kept``) per row of ``vectors``.
 
-    Vectors link if their labels are equal and their cosine is COSINE or more. A vector that is null, zero, or holds null
-    or non-finite components, and one without label or id, links with nothing and is its own component. Equal vectors of
-    a label are represented by their smallest id and link with one another. Rows that repeat an id count as vectors of
-    their own with the same id. Vectors of different lengths under one label are an error.
+    Vectors link if their labels are equal and their cosine is COSINE or more; vectors of different lengths do not. A
+    vector that is null, zero, or holds null or non-finite components, and one without label or id, links with nothing and
+    is its own component. Equal vectors of a label are searched once and link with one another. Rows that repeat an id
+    count as vectors of their own with the same id.
     """
     rows, units = representatives(vectors, id_col, vector_col, label_col)
     rows, units = staged(rows, "vectors"), staged(units, "units")
-    linked, stars = linked_counts(units)
+    linked, stars = flatgraph.linked_counts(units, COSINE)
     reached = components(stars).withColumnRenamed("node", "rep")
-    known = units.select("rep", "copies").join(linked, "rep", "left").join(reached, "rep", "left")
-    known = known.select(
-        "rep",
-        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+    known = units.select("rep", "least", "copies").join(linked, "rep", "left").join(reached, "rep", "left")
+    known = staged(known.withColumn("component", F.coalesce("component", "rep")), "known")
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(smallest, "component").select(
+        "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     named = rows.join(known, "rep", "left")
     component = F.coalesce("component_id", "vec_id")
@@ -225,15 +180,12 @@ def near_duplicates(
     )
 
 
-def recall(units: pd.DataFrame, others: dict[int, int]) -> float:
-    """Share of the true links (brute force) of the ``rep`` divisible by 20 that ``others`` counts, copies included."""
-    true, found = 0, 0
-    for _, rows in units.groupby("label"):
-        ids, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
-        points = np.stack(rows["unit"].to_numpy())
-        for at in np.flatnonzero(ids % 20 == 0):
-            close = points @ points[at] >= COSINE
-            close[at] = False
-            true += int(copies[close].sum())
-            found += min(others.get(int(ids[at]), 0), int(copies[close].sum()))
-    return found / true if true else 1.0
+def recall(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> float:
+    """Share of the true links, by the exact comparison, of the vectors with an id divisible by 20 that the graph finds."""
+    _, units = representatives(vectors, id_col, vector_col, label_col)
+    units = staged(units, "units")
+    found, true = (x.withColumnRenamed("others", name) for x, name in (
+        (flatgraph.linked_counts(units, COSINE)[0], "found"), (exact_counts(units)[0], "true")))
+    asked = units.filter("least % 20 = 0").join(true, "rep").join(found, "rep", "left")
+    total = asked.agg(F.sum("true").alias("true"), F.sum(F.coalesce("found", F.lit(0))).alias("found")).first()
+    return total["found"] / total["true"] if total["true"] else 1.0

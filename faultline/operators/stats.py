@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,17 +32,49 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+@lru_cache(maxsize=None)
+def _part_polynomial(parts: int) -> tuple[int, list[int]]:
+    """(period, numerator): 1 / ((1-q)(1-q)(1-q^2)..(1-q^parts)) is numerator(q) / (1-q^period)^(parts+1)."""
+    period = math.lcm(*range(1, parts + 1))
+    numerator = [1]
+    for size in (1, *range(1, parts + 1)):  # times 1 + q^size + q^(2 size) + .. up to below the period
+        wide = numerator + [0] * (period - size)
+        for at in range(size, len(wide)):
+            wide[at] += wide[at - size] - (numerator[at - period] if 0 <= at - period < len(numerator) else 0)
+        numerator = wide
+    return period, numerator
+
+
+def _sums_up_to(parts: int, limit: int) -> int:
+    """How many multisets of 1..parts have a sum of ``limit`` at most; work and memory do not grow with ``limit``."""
+    if limit < 0:
+        return 0
+    period, numerator = _part_polynomial(parts)
+    first = limit % period
+    return sum(
+        numerator[at] * math.comb((limit - at) // period + parts, parts)
+        for at in range(first, min(limit, len(numerator) - 1) + 1, period)
+    )
+
+
 def rank_sum_tail(n1: int, n2: int, u: float) -> float:
-    """P(U >= u) without ties: counts of U are the coefficients of a Gaussian binomial."""
+    """P(U >= u) without ties, exact, for a smaller sample of few values and a larger one of any size.
+
+    U counts like the partitions with at most ``small`` parts of at most ``large`` each: the bound on the parts is taken
+    off by inclusion and exclusion over the factors 1 - q^(large+1) .. 1 - q^(large+small), 2^small terms. By symmetry
+    P(U >= u) = P(U <= n1 n2 - u).
+    """
     small, large = sorted((n1, n2))
-    counts = np.zeros(n1 * n2 + 1)
-    counts[0] = 1.0
+    limit = math.floor(n1 * n2 - u)
+    if limit >= n1 * n2:
+        return 1.0
+    terms = {0: 1}
     for i in range(1, small + 1):
-        top = large + i
-        counts[top:] -= counts[:-top].copy() if top < len(counts) else 0.0
-        for start in range(i):
-            counts[start::i] = np.cumsum(counts[start::i])
-    return float(counts[math.ceil(u) :].sum() / counts.sum())
+        for total, sign in list(terms.items()):
+            if total + large + i <= limit:
+                terms[total + large + i] = terms.get(total + large + i, 0) - sign
+    upto = sum(sign * _sums_up_to(small, limit - total) for total, sign in terms.items())
+    return upto / math.comb(n1 + n2, small)
 
 
 def signed_rank_two_sided(n: int, w: float) -> float:

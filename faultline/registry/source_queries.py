@@ -175,7 +175,7 @@ def _grid(spark, d, name, every):
     """Checked result rows; with ``every`` each setting has to beat the largest class, else the best one."""
     first = F.slice(F.col("embedding"), 1, 3)
     data = _labelled(spark, d).withColumn("strongest", F.array_position(first, F.array_max(first)).cast("int") - 1).persist()
-    results = models.run_grid(data, "strongest", name, _settings(name)).persist()
+    results = models.run_grid(data, "strongest", name, selection.settings(name)).persist()
     sizes = data.groupBy("strongest").count().agg(F.max("count") / F.sum("count")).first()[0]
     data.unpersist()
     accuracy = (F.col("val_accuracy") + F.col("test_accuracy")) / 2
@@ -186,13 +186,9 @@ def _grid(spark, d, name, every):
     return models.checked_results(results).withColumn("best_beats_majority", F.lit(bool(best > sizes)))
 
 
-def _settings(name):
-    return ["5-uniform-1", "11-distance-2"] if name == "knn" else selection.settings(name)
-
-
 def _grid_sql(name, condition):
     """What is determined without training: every setting once, scores in range, and better than the largest class."""
-    rows = " UNION ALL ".join(f"SELECT '{s}' AS parameters" for s in _settings(name))
+    rows = " UNION ALL ".join(f"SELECT '{s}' AS parameters" for s in selection.settings(name))
     return f"SELECT 'strongest' AS problem, '{name}' AS classifier, parameters, true AS in_range, true AS {condition} FROM ({rows})"
 
 

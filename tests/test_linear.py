@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml.linalg import Vectors
 
-from faultline.operators import linear
+from faultline.operators import linear, models
 from faultline.operators import stats as ST
 
 
@@ -60,3 +60,25 @@ def test_rank_sum_tail_of_a_small_and_a_very_large_sample():
         u = share * 8 * large
         z = (u - 4 * large) / math.sqrt(8 * large * (large + 9) / 12)
         assert abs(ST.rank_sum_tail(8, large, u) - ST.normal_tail(z)) < 0.01
+
+
+def test_neighbour_grid_equals_single_searches(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(200, 3))
+    parts = rng.choice(["train", "valid", "test"], 200)
+    rows = [(k, Vectors.dense(x), int(x[0] > 0), str(part)) for k, (x, part) in enumerate(zip(points, parts, strict=True))]
+    data = spark.createDataFrame(rows, ["key", "features", "y", "partition"])
+    settings = ["5-uniform-1", "11-distance-1", "11-uniform-2", "31-distance-2"]
+    made = {r["parameters"]: r for r in models.run_grid(data, "y", "knn", settings).collect()}
+    train = parts == "train"
+    for setting in settings:
+        k, weights, norm = setting.split("-")
+        for short, name in (("val", "valid"), ("test", "test")):
+            right = 0
+            for at in np.flatnonzero(parts == name):
+                gap = np.linalg.norm(points[train] - points[at], ord=int(norm), axis=1)
+                near = np.argsort(gap, kind="stable")[: int(k)]
+                vote = np.ones(len(near)) if weights == "uniform" else 1 / gap[near]
+                label = points[train][near, 0] > 0
+                right += (vote[label].sum() > vote[~label].sum()) == (points[at, 0] > 0)
+            assert math.isclose(made[setting][f"{short}_accuracy"], right / (parts == name).sum(), abs_tol=6e-4)

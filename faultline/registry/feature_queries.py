@@ -251,6 +251,28 @@ def pair_vector_sizes(spark, d):
     return vectors.pair_vectors(one, other, "doc_id").select("doc_id", F.size("vec").alias("size"))
 
 
+_PAIR_MEANS = """SELECT doc_id, avg(length(t)) AS a, avg(CASE WHEN t LIKE '%e' THEN 1.0 ELSE 0.0 END) AS b
+      FROM words JOIN vocab USING (t) {where} GROUP BY doc_id"""
+
+
+@query(
+    "pair_vector_values",
+    f"""WITH {_VOCAB_SQL}, whole AS ({_PAIR_MEANS.format(where="")}), head AS ({_PAIR_MEANS.format(where="WHERE p < 40")})
+    SELECT docs.doc_id, round(coalesce(whole.a, 0), 6) AS v1, round(coalesce(whole.b, 0), 6) AS v2,
+      round(coalesce(head.a, 0), 6) AS v3, round(coalesce(head.b, 0), 6) AS v4
+    FROM docs LEFT JOIN whole ON docs.doc_id = whole.doc_id LEFT JOIN head ON docs.doc_id = head.doc_id""",
+)
+def pair_vector_values(spark, d):
+    """Vectors of whole texts and of their first 40 tokens side by side, from word vectors that SQL can compute too."""
+    docs = _docs(spark, d)
+    ends = F.col("token").endswith("e").cast("double")
+    words = _vocabulary(docs).select(F.col("token").alias("term"), F.array(F.length("token").cast("double"), ends).alias("vec"))
+    whole = vectors.document_vectors(docs, "doc_id", "tokens", words, 2)
+    head = vectors.document_vectors(docs.withColumn("tokens", F.slice("tokens", 1, 40)), "doc_id", "tokens", words, 2)
+    both = vectors.pair_vectors(whole, head, "doc_id")
+    return both.select("doc_id", *[F.round(F.col("vec")[k], 6).alias(f"v{k + 1}") for k in range(4)])
+
+
 @query(
     "word_vectors",
     f"""WITH {_DOCS_SQL}, counted AS (SELECT t, count(*) AS n FROM words WHERE partition = 'train' GROUP BY t),

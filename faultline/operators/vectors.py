@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.cluster import stage_path
 from faultline.functions.text import unfold
 from faultline.operators.vocab import fits_dictionary
 
@@ -25,6 +29,9 @@ EPOCHS = 10
 MAX_VOCAB = 10_000
 # Words that one task trains on.
 TASK_WORDS = 250_000
+# Words of one slice of a batch, and pairs that a task counts before it sends them on.
+SLICE_WORDS = 200_000
+HELD_PAIRS = 4_000_000
 
 
 def frequent_enough(words: DataFrame, min_count: int, max_vocab: int) -> tuple[int, int]:
@@ -71,6 +78,170 @@ def word_vector_table(model: Word2VecModel) -> DataFrame:
     return model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
 
 
+def _context_keys(codes: np.ndarray, context: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, trained word) codes of all pairs within the window of one slice of texts.
+
+    A word without a trained word in its window takes the nearest one on each side of its text.
+    """
+    lonely = np.ones(len(codes), bool)
+    for gap in range(1, min(window, len(codes) - 1) + 1):
+        same = text[:-gap] == text[gap:]
+        for here, there in ((slice(None, -gap), slice(gap, None)), (slice(gap, None), slice(None, -gap))):
+            met = same & (context[there] >= 0)
+            lonely[here] &= ~met
+            yield codes[here][met], context[there][met]
+    places = np.arange(len(codes))
+    before = np.maximum.accumulate(np.where(context >= 0, places, -1))
+    after = np.minimum.accumulate(np.where(context >= 0, places, len(codes))[::-1])[::-1]
+    for near in (before, after):
+        asked = np.flatnonzero(lonely & (context < 0) & (near >= 0) & (near < len(codes)))
+        asked = asked[text[near[asked]] == text[asked]]
+        yield codes[asked], context[near[asked]]
+
+
+def context_counts(df: DataFrame, tokens: str, trained: Sequence[str], window: int = WINDOW) -> DataFrame:
+    """(term, ctx, n): how often a word stands within the window of the trained word number ``ctx``.
+
+    Pairs are counted in the tasks first. They meet by word and trained word, so a frequent word is not one task's work.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(pa.array(list(trained), pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        width = max(len(known), 1)
+
+        def counted(keys: list[np.ndarray], terms: pa.Array) -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate(keys), return_counts=True)
+            columns = [terms.take(pa.array(pairs // width)), pa.array((pairs % width).astype("int32")), pa.array(n.astype("int64"))]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "ctx", "n"])
+
+        for batch in batches:
+            column = batch.column(0)
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype("int64")
+            coded = column.flatten().cast(pa.string()).dictionary_encode()
+            terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype("int64")
+            if not len(codes):
+                continue
+            numbers = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False)
+            context, text = numbers[codes].astype("int64"), np.repeat(np.arange(len(lengths)), lengths)
+            # Whole texts per slice: cut where a text begins beyond the next multiple of the slice size.
+            begins = np.concatenate([[0], np.cumsum(lengths)])
+            cuts = begins[np.unique(begins // SLICE_WORDS, return_index=True)[1]]
+            held, size = [], 0
+            for low, high in zip(cuts, [*cuts[1:], len(codes)]):
+                for word, other in _context_keys(codes[low:high], context[low:high], text[low:high], window):
+                    held.append(word * width + other)
+                    size += len(word)
+                    if size > HELD_PAIRS:
+                        yield counted(held, terms)
+                        held, size = [], 0
+            if size:
+                yield counted(held, terms)
+
+    pairs = df.select(F.array_compact(tokens).alias(tokens)).mapInArrow(run, "term string, ctx int, n bigint")
+    return pairs.groupBy("term", "ctx").agg(F.sum("n").alias("n"))
+
+
+def context_means(terms: DataFrame, counts: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """(term, vec): mean vector of the trained words around every word of ``terms``; zeros where none is around.
+
+    A word has at most as many rows as there are trained words. Sums run over sorted rows, batch by batch.
+    """
+    shared = terms.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors = shared.value
+        word, total, weight = None, None, 0.0
+        for frame in frames:
+            names, ctx = frame["term"].to_numpy(), frame["ctx"].to_numpy()
+            n = np.where(ctx < 0, 0, frame["n"].to_numpy()).astype(float)
+            if not len(names):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            sums = np.add.reduceat(vectors[np.maximum(ctx, 0)] * n[:, None], starts)
+            weights = np.add.reduceat(n, starts)
+            firsts = names[starts]
+            if word is not None and firsts[0] == word:
+                sums[0] += total
+                weights[0] += weight
+            elif word is not None:
+                yield pd.DataFrame({"term": [word], "vec": [total / max(weight, 1.0)]})
+            means = sums[:-1] / np.maximum(weights[:-1], 1.0)[:, None]
+            if len(means):
+                yield pd.DataFrame({"term": firsts[:-1], "vec": list(means)})
+            word, total, weight = firsts[-1], sums[-1], weights[-1]
+        if word is not None:
+            yield pd.DataFrame({"term": [word], "vec": [total / max(weight, 1.0)]})
+
+    joined = terms.select("term").join(counts, "term", "left").fillna({"ctx": -1, "n": 0})
+    return joined.repartition("term").sortWithinPartitions("term", "ctx").mapInPandas(run, "term string, vec array<double>")
+
+
+def _ridge(around: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Least squares map from context means to trained vectors, slightly damped."""
+    gram = around.T @ around
+    damping = 1e-3 * np.trace(gram) / len(gram)
+    if not damping > 0:
+        return np.eye(len(gram))
+    return np.linalg.solve(gram + damping * np.eye(len(gram)), around.T @ wanted)
+
+
+def all_word_vectors(
+    train: DataFrame,
+    tokens: str,
+    size: int = VECTOR_SIZE,
+    window: int = WINDOW,
+    min_count: int = MIN_COUNT,
+    epochs: int = EPOCHS,
+    max_vocab: int = MAX_VOCAB,
+    task_words: int = TASK_WORDS,
+) -> DataFrame:
+    """(term, vec) of every word that occurs at least ``min_count`` times, however many there are.
+
+    The trainer holds its vectors on the driver, so it gets the ``max_vocab`` most frequent words. The vectors of all other
+    words are induced (a la carte embedding): a linear map takes the mean vector of the trained words around a word to its
+    vector, fitted by least squares on the trained words, where both are known. Only counts and sums of that are shuffled;
+    driver and tasks hold at most ``max_vocab`` vectors and one matrix of ``size`` x ``size``.
+
+    A word with no trained word in any text of its own has the zero vector. If nothing can be trained, all have it.
+    """
+    spark = train.sparkSession
+    path = stage_path(spark, "word-counts")
+    counted = train.select(unfold(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    counted.filter(F.col("term").isNotNull() & (F.col("tf") >= min_count)).write.parquet(path)
+    terms = spark.read.parquet(path)
+    least, words = frequent_enough(terms, min_count, max_vocab)
+    if terms.filter(F.col("tf") >= least).isEmpty():
+        return terms.select("term", F.array_repeat(F.lit(0.0), size).alias("vec"))
+    trainer = Word2Vec(
+        vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=SEED,
+        numPartitions=max(1, math.ceil(words / task_words)), inputCol=tokens, outputCol="__unused",
+    )
+    trained = word_vector_table(trainer.fit(train.filter(F.col(tokens).isNotNull())))
+    table = trained.toArrow()
+    names = table.column("term").to_pylist()
+    matrix = np.array(table.column("vec").combine_chunks().flatten(), float).reshape(-1, size)
+    if terms.count() == len(names):
+        return trained
+    path = stage_path(spark, "word-contexts")
+    context_means(terms, context_counts(train, tokens, names, window), matrix).write.parquet(path)
+    means = spark.read.parquet(path)
+    frequent = F.broadcast(trained.select("term"))
+    seen = means.join(frequent, "term").toArrow()
+    place = {name: i for i, name in enumerate(names)}
+    order = [place[name] for name in seen.column("term").to_pylist()]
+    around = np.array(seen.column("vec").combine_chunks().flatten(), float).reshape(-1, size)
+    turn = spark.sparkContext.broadcast(_ridge(around, matrix[order]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(vec=list(np.stack(frame["vec"].to_numpy()) @ turn.value))
+
+    rare = means.join(frequent, "term", "left_anti").select("term", "vec")
+    return trained.unionByName(rare.mapInPandas(run, "term string, vec array<double>"))
+
+
 def document_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, size: int, out: str = "vec") -> DataFrame:
     """Mean of the known word vectors of every text, zeros where none is known.
 

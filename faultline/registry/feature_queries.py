@@ -275,14 +275,12 @@ def pair_vector_values(spark, d):
 
 @query(
     "word_vectors",
-    f"""WITH {_DOCS_SQL}, counted AS (SELECT t, count(*) AS n FROM words WHERE partition = 'train' GROUP BY t),
-      upto AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS terms FROM counted GROUP BY n),
-      least AS (SELECT min(n) AS n FROM upto WHERE terms <= 10000 AND n >= 2)
-    SELECT t AS term, 300 AS size FROM counted JOIN least ON counted.n >= least.n""",
+    f"""WITH {_DOCS_SQL}
+    SELECT t AS term, 300 AS size FROM words WHERE partition = 'train' GROUP BY t HAVING count(*) >= 2""",
 )
 def word_vectors(spark, d):
-    model = vectors.fit_word_vectors(_docs(spark, d).filter("partition = 'train'"), "tokens")
-    return vectors.word_vector_table(model).select("term", F.size("vec").alias("size"))
+    found = vectors.all_word_vectors(_docs(spark, d).filter("partition = 'train'"), "tokens")
+    return found.select("term", F.size("vec").alias("size"))
 
 
 def _length_encoder():

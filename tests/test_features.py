@@ -198,6 +198,76 @@ def test_word_vectors_in_several_tasks(spark):
     assert len(unit) == 16 and all(near)
 
 
+def _brute_contexts(texts, trained, window):
+    """Counts of (word, number of a trained word) by looking at every pair of places."""
+    number = {w: i for i, w in enumerate(trained)}
+    found = {}
+    for words in texts:
+        places = [i for i, w in enumerate(words) if w in number]
+        for i, w in enumerate(words):
+            near = [j for j in places if j != i and abs(j - i) <= window]
+            if not near and w not in number:
+                near = [j for j in places if j < i][-1:] + [j for j in places if j > i][:1]
+            for j in near:
+                found[w, number[words[j]]] = found.get((w, number[words[j]]), 0) + 1
+    return found
+
+
+def test_context_counts_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [[f"w{int(x)}" for x in rng.zipf(1.4, int(k)) % 60] for k in rng.integers(0, 60, 80)]
+    rows = [(t,) for t in texts + [["w1"], ["lone"], ["x"] * 30 + ["w2"], []]] + [(None,)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(3)
+    trained = ["w1", "w2", "w3", "w4", "never"]
+    want = _brute_contexts([t for (t,) in rows if t], trained, 4)
+    for words, pairs in ((200_000, 4_000_000), (50, 100)):
+        monkeypatch.setattr(vectors, "SLICE_WORDS", words)
+        monkeypatch.setattr(vectors, "HELD_PAIRS", pairs)
+        got = vectors.context_counts(df, "tokens", trained, 4).collect()
+        assert {(r["term"], r["ctx"]): r["n"] for r in got} == want and len(got) == len(want)
+    assert vectors.context_counts(df, "tokens", [], 4).count() == 0
+
+
+def test_context_means_over_small_batches(spark):
+    matrix = np.arange(12.0).reshape(4, 3)
+    counts = [("a", 0, 3), ("a", 1, 1), ("a", 3, 2), ("b", 2, 5), ("c", 0, 1), ("c", 3, 1)]
+    terms = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "term string")
+    pairs = spark.createDataFrame([*counts, ("dropped", 1, 4)], "term string, ctx int, n bigint")
+    want = {"none": [0.0] * 3}
+    for w in "abc":
+        n = np.array([k for t, _, k in counts if t == w], float)
+        want[w] = list(n @ matrix[[c for t, c, _ in counts if t == w]] / n.sum())
+    for size in ("1", "2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {r["term"]: r["vec"] for r in vectors.context_means(terms, pairs, matrix).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert set(got) == set(want) and all(np.allclose(got[w], want[w]) for w in want)
+
+
+def test_vectors_of_all_words(spark):
+    rng = np.random.default_rng(6)
+    topics = [[f"{t}{i}" for i in range(12)] for t in ("sea", "sky")]
+    # The last six words of a topic are too rare for the trainer's ten or so.
+    odds = np.array([1.0] * 6 + [0.05] * 6)
+    texts = [[str(w) for w in rng.choice(topics[i % 2], 12, p=odds / odds.sum())] for i in range(600)]
+    rows = [(t,) for t in [*texts, ["far", "off"], ["far", "off"], ["once"], []]] + [(None,)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(4)
+    options = dict(size=16, epochs=10, max_vocab=12, task_words=2_400)
+    vec = {r["term"]: np.array(r["vec"]) for r in vectors.all_word_vectors(df, "tokens", **options).collect()}
+    assert set(vec) == {w for t in topics for w in t} | {"far", "off"}
+    assert not vec.pop("far").any() and not vec.pop("off").any()
+    unit = {w: v / np.linalg.norm(v) for w, v in vec.items()}
+    near = [max((x for x in unit if x != w), key=lambda x: unit[w] @ unit[x])[:3] == w[:3] for w in unit]
+    assert all(near)
+    # Everything fits: the trainer's own vectors.
+    assert vectors.all_word_vectors(df.filter("get(tokens, 0) != 'far'"), "tokens", size=8, epochs=1).count() == 24
+    assert vectors.all_word_vectors(df.limit(0), "tokens", size=8).count() == 0
+    none = vectors.all_word_vectors(df, "tokens", size=4, max_vocab=0)
+    assert {tuple(r["vec"]) for r in none.collect()} == {(0.0,) * 4} and none.count() == 26
+
+
 def test_vocabulary_of_word_vectors_is_bounded(spark):
     rows = [("a", 9), ("b", 7), ("c", 7), ("d", 2), ("e", 1)]
     counted = spark.createDataFrame(rows, "term string, tf bigint")

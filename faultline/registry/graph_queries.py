@@ -6,12 +6,13 @@ to the next line and a data edge to the line after it; embeddings act as node ve
 
 from pyspark.sql import functions as F
 
-from faultline.cluster import checkpointed
+from faultline.cluster import checkpointed, stage_path
 from faultline.operators import graph as G
 from faultline.operators import propagate as P
 from faultline.operators.ranking import quantile_bucket
 from faultline.registry.catalog import query, sql_lines, table
-from faultline.sources.graphs import parse_graphs
+from faultline.sources.files import write_files
+from faultline.sources.graphs import CODE_SUFFIX, EDGES_SUFFIX, NODES_SUFFIX, parse_graphs, read_code_lines, read_graphs
 
 # --- order lines as a property graph ---------------------------------------------------------------
 
@@ -302,6 +303,46 @@ def rejected_graphs(spark, d):
     return parse_graphs(_graph_texts(spark, d))[2]
 
 
+@query(
+    "graph_files",
+    """WITH kinds AS (SELECT p_partkey AS k, p_size, CASE WHEN p_partkey % 29 = 0 OR p_partkey % 23 = 0 THEN 'unreadable'
+        WHEN p_partkey % 19 = 0 THEN 'missing column' END AS reason FROM part)
+    SELECT 'reject' AS part, k::varchar AS graph_id, reason AS a, NULL AS b, NULL AS c, NULL::int AS line
+      FROM kinds WHERE reason IS NOT NULL
+    UNION ALL SELECT 'node', k::varchar, k::varchar, 'METHOD', 'f' || k, 1 FROM kinds WHERE reason IS NULL
+    UNION ALL SELECT 'node', k::varchar, '9', 'CALL', 'g', NULL FROM kinds WHERE reason IS NULL
+    UNION ALL SELECT 'edge', k::varchar, k::varchar, '9', 'AST', NULL FROM kinds WHERE reason IS NULL
+    UNION ALL SELECT 'edge', k::varchar, '9', k::varchar, 'CDG', NULL FROM kinds WHERE reason IS NULL
+    UNION ALL SELECT 'code', k::varchar, 'int f' || k || '()', NULL, NULL, 1 FROM kinds
+    UNION ALL SELECT 'code', k::varchar, 'g(' || p_size || ');', NULL, NULL, 2 FROM kinds""",
+)
+def graph_files(spark, d):
+    """Written as pairs of graph files with their code, then read back; every 29th pair lacks its edges."""
+    texts = _graph_texts(spark, d)
+    folder = stage_path(spark, "graphs")
+    key = F.col("graph_id").cast("string")
+    code = F.concat(F.lit("int f"), F.col("p_partkey").cast("string"), F.lit("()\n  g("), F.col("p_size").cast("string"), F.lit(");\n"))
+    codes = table(spark, d, "part").select(F.col("p_partkey").alias("graph_id"), code.alias("text"))
+    pairs = (
+        (texts.withColumnRenamed("nodes_json", "text"), NODES_SUFFIX),
+        (texts.filter("graph_id % 29 <> 0").withColumnRenamed("edges_json", "text"), EDGES_SUFFIX),
+        (codes, CODE_SUFFIX),
+    )
+    for rows, suffix in pairs:
+        write_files(rows.withColumn("name", F.concat(key, F.lit(suffix))), folder, "name", "text")
+    nodes, edges, rejects = read_graphs(spark, folder)
+    none = F.lit(None).cast("string")
+    shape = lambda part, a, b, c, line=F.lit(None): [
+        F.lit(part).alias("part"), "graph_id", a.alias("a"), b.alias("b"), c.alias("c"), line.cast("int").alias("line")
+    ]
+    return (
+        rejects.select(*shape("reject", F.col("reason"), none, none))
+        .unionByName(nodes.select(*shape("node", F.col("id"), F.col("label"), F.col("name"), F.col("line"))))
+        .unionByName(edges.select(*shape("edge", F.col("innode"), F.col("outnode"), F.col("etype"))))
+        .unionByName(read_code_lines(spark, folder).select(*shape("code", F.col("text"), none, none, F.col("line_no"))))
+    )
+
+
 # --- documents as line graphs ----------------------------------------------------------------------
 
 _LINE_GRAPH_SQL = f"""ls AS (SELECT doc_id AS g, {sql_lines('text')} AS ls FROM documents),

@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from faultline.cluster import checkpointed
+from faultline.cluster import checkpointed, stage_path
 from faultline.operators import metrics as M
 from faultline.operators import runs as R
 from faultline.operators import selection as S
 from faultline.operators import stats as ST
 from faultline.operators.ranking import quantile_bucket, row_index
 from faultline.registry.catalog import query, table
+from faultline.sources.files import write_files
+from faultline.sources.tables import read_results
 
 # --- evaluation: true class = order status or priority, predicted class from the key -------------------
 
@@ -583,3 +585,35 @@ def mean_long_results(spark, d):
 def wide_results(spark, d):
     long = R.wide_to_long(_wide(spark, d), ["run", "set", "fold"])
     return R.long_to_wide(long, ["run"], ["multitask", "cvss2_conf"], ["acc", "mcc"])
+
+
+@query(
+    "result_files",
+    """SELECT l_returnflag AS feature_type, l_linestatus AS feature_scope, 's' || l_suppkey AS token,
+      (l_linenumber % 3)::varchar AS fold, l_linenumber::int AS epoch, sum(l_quantity)::double AS mcc,
+      CASE WHEN l_suppkey % 3 < 2 THEN count(*)::double END AS f1
+    FROM lineitem GROUP BY l_returnflag, l_linestatus, l_suppkey, l_linenumber""",
+)
+def result_files(spark, d):
+    """One result file per supplier, flag, status and fold; columns swapped in every third file, one missing in another third."""
+    kind = F.col("l_suppkey") % 3
+    totals = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber").agg(
+        F.sum("l_quantity").cast("double").cast("string").alias("mcc"), F.count(F.lit(1)).cast("string").alias("f1")
+    )
+    epoch = F.col("l_linenumber").cast("string")
+    line = (
+        F.when(kind == 0, F.concat_ws(",", F.lit("7"), epoch, "mcc", "f1"))
+        .when(kind == 1, F.concat_ws(",", "f1", F.concat(F.lit('"'), epoch, F.lit('"')), "mcc"))
+        .otherwise(F.concat_ws(",", "mcc", epoch))
+    )
+    head = F.when(kind == 0, ",epoch,mcc,f1").when(kind == 1, "f1,epoch, mcc").otherwise("mcc,epoch")
+    name = F.concat_ws(
+        "_", "l_returnflag", "l_linestatus", F.concat(F.lit("s"), F.col("l_suppkey")), F.col("l_linenumber") % 3, F.lit("result.csv")
+    )
+    # A supplier has at most as many rows in a file as there are line numbers.
+    files = totals.select(name.alias("name"), head.alias("head"), line.alias("line")).groupBy("name", "head").agg(
+        F.sort_array(F.collect_list("line")).alias("lines")
+    )
+    texts = files.select("name", F.concat("head", F.lit("\r\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
+    folder = write_files(texts, stage_path(spark, "results"), "name", "text")
+    return read_results(spark, folder, 5, "epoch int, mcc double, f1 double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.cluster import stage_path
 from faultline.functions.text import unfold
 
 # File name endings and node properties; only the last property may be absent from a file.
@@ -15,7 +16,7 @@ OPTIONAL = ("controlStructureType",)
 
 def read_texts(spark: SparkSession, folder: str, suffix: str, column: str) -> DataFrame:
     """(graph_id, text) of all files with an ending; the file name in front of the ending is the id."""
-    files = spark.read.text(f"{folder}/*{suffix}", wholetext=True)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}")
     stem = F.expr(f"substr(_metadata.file_name, 1, length(_metadata.file_name) - {len(suffix)})")
     return files.select(stem.alias("graph_id"), F.col("value").alias(column))
 
@@ -60,10 +61,15 @@ def parse_graphs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and rejects of all file pairs in a folder; a lone file counts as unreadable."""
+    """Nodes, edges and rejects of all file pairs in a folder; a lone file counts as unreadable.
+
+    The small files are opened once: their texts go into a stage table, from which all three are taken.
+    """
     nodes = read_texts(spark, folder, NODES_SUFFIX, "nodes_json")
     edges = read_texts(spark, folder, EDGES_SUFFIX, "edges_json")
-    return parse_graphs(nodes.join(edges, "graph_id", "full"))
+    path = stage_path(spark, "graph-texts")
+    nodes.join(edges, "graph_id", "full").write.parquet(path)
+    return parse_graphs(spark.read.parquet(path))
 
 
 def read_code_lines(spark: SparkSession, folder: str) -> DataFrame:

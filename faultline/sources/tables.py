@@ -111,25 +111,39 @@ def with_file_columns(df: DataFrame, path: Column, parts: int) -> DataFrame:
 def read_results(spark: SparkSession, folder: str, parts: int, schema: T.StructType | str) -> DataFrame:
     """All result CSV files of a folder whose names have the given number of parts, as one table.
 
-    Columns are matched by name: files are read by header, each group in its own column order; a column that a
-    file does not have is null. A header with a column that ``schema`` does not list is refused.
+    Columns are matched by name in the task that reads a file, so headers neither reach the driver nor add to the plan,
+    and one task reads many files. A column that a file does not have is null, like a cell that does not parse. A header
+    with a column that ``schema`` does not list is refused. A file is one row until it is cut, so files must fit a task;
+    a cell holds no line break. Rows have ``schema`` and the columns of the file name; file names may repeat rows.
     """
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    # The header is the first line; only one short row per file reaches the driver.
-    heads = spark.read.text(folder, wholetext=True, pathGlobFilter="*").select(
-        F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1).alias("head"), F.col("_metadata.file_path").alias("file")
-    )
-    named = with_file_columns(heads, F.col("file"), parts).select("head", "file")
-    found = None
-    for row in named.groupBy("head").agg(F.collect_list("file").alias("files")).collect():
-        columns = [c.strip().strip('"') for c in row["head"].split(",")]
-        unknown = sorted(set(columns) - set(wanted.names) - {""})
-        if unknown:
-            raise ValueError(f"columns {unknown} of {row['files'][0]} are not in the schema")
-        kinds = [wanted[c] if c in wanted.names else T.StructField(INDEX_COLUMN, T.StringType()) for c in columns]
-        one = spark.read.schema(T.StructType(kinds)).csv(row["files"], header=True, enforceSchema=False)
-        one = one.select(*[c for c in columns if c], F.col("_metadata.file_path").alias("__file"))
-        found = one if found is None else found.unionByName(one, allowMissingColumns=True)
-    empty = spark.createDataFrame([], wanted).withColumn("__file", F.lit(""))
-    table = empty if found is None else empty.unionByName(found, allowMissingColumns=True)
-    return with_file_columns(table, F.col("__file"), parts).drop("__file")
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*").select("value", F.col("_metadata.file_path").alias("__file"))
+    named = with_file_columns(texts, F.col("__file"), parts)
+    width = len(wanted) + 1
+    cells = ", ".join(f"c{i} string" for i in range(width))
+
+    def parsed(line: Column, strip: bool) -> Column:
+        options = {"ignoreLeadingWhiteSpace": str(strip).lower(), "ignoreTrailingWhiteSpace": str(strip).lower()}
+        row = F.from_csv(line, cells, options)
+        return F.array(*[row[f"c{i}"] for i in range(width)])
+
+    lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
+    headed = named.withColumns({"__lines": F.filter(lines, lambda x: x != "")}).drop("value").filter(F.size("__lines") > 0)
+    headed = headed.withColumn("__head", parsed(F.get("__lines", F.lit(0)), strip=True))
+    # More columns than the schema and the index column: at least one is not listed.
+    listed = F.array(*[F.lit(c) for c in (*wanted.names, INDEX_COLUMN, "")])
+    strange = F.array_except(F.array_compact("__head"), listed)
+    first = F.split(F.get("__lines", F.lit(0)), ",")
+    bad = headed.select("__file", F.when(F.size(strange) > 0, strange).when(F.size(first) > width, first).alias("strange"))
+    refused = bad.filter("strange IS NOT NULL").first()
+    if refused is not None:
+        raise ValueError(f"columns {list(refused['strange'])} of {refused['__file']} are not in the schema")
+    rows = headed.withColumn("__line", F.explode(F.slice("__lines", 2, F.greatest(F.size("__lines") - 1, F.lit(0)))))
+    rows = rows.withColumn("__cells", parsed(F.col("__line"), strip=False))
+
+    def column(field: T.StructField) -> Column:
+        at = F.array_position("__head", F.lit(field.name)) - 1
+        return F.when(at >= 0, F.get("__cells", at.cast("int"))).try_cast(field.dataType)
+
+    table = rows.withColumns({f.name: column(f) for f in wanted})
+    return table.drop("__file", "__lines", "__line", "__head", "__cells")

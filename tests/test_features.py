@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from faultline.operators import history as H
 from faultline.operators.ranking import quantile_bucket, row_index
 from faultline.plans import baseline, dataset
 from faultline.plans import history as history_plan
-from faultline.sources import html, tables
+from faultline.sources import files, html, tables
 from faultline.streaming import texts
 
 
@@ -338,6 +339,41 @@ def test_result_files_by_header(spark, tmp_path):
         tables.read_results(spark, str(tmp_path), 5, "mcc double").count()
 
 
+def test_result_files_in_all_shapes(spark, tmp_path):
+    bodies = {
+        "0": ' "mcc" , f1\r\n0.5,"1"\r\n\r\n,2\r\n',  # blanks and quotes, an empty line, an empty cell
+        "1": ",f1,mcc\n9,0.25,NaN\n",  # an index column without a name
+        "2": "Unnamed: 0,mcc\n1,x\n2,1e-3",  # no number, no last line end
+        "3": "mcc\n",
+        "4": "",
+        "5": "f1\n1\n1\n",  # equal rows stay
+    }
+    for fold, body in bodies.items():
+        (tmp_path / f"code_hc_word_{fold}_x.csv").write_bytes(body.encode())
+    got = tables.read_results(spark, str(tmp_path), 5, "mcc double, f1 double")
+    assert got.columns == ["feature_type", "feature_scope", "token", "fold", "mcc", "f1"]
+    rows = sorted((r["fold"], str(r["mcc"]), str(r["f1"])) for r in got.collect())
+    assert rows == [
+        ("0", "0.5", "1.0"), ("0", "None", "2.0"), ("1", "nan", "0.25"), ("2", "0.001", "None"), ("2", "None", "None"),
+        ("5", "None", "1.0"), ("5", "None", "1.0"),
+    ]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 1 and "Union" not in plan
+    (tmp_path / "code_hc_word_6_x.csv").write_text("mcc,f1,a,b\n1,2,3,4\n")
+    with pytest.raises(ValueError, match="not in the schema"):
+        tables.read_results(spark, str(tmp_path), 5, "mcc double, f1 double")
+
+
+def test_one_file_per_row(spark, tmp_path):
+    rows = [("a.txt", "é\n"), ("b.txt", None), (None, "lost"), ("c.txt", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "name string, text string").repartition(3)
+    folder = files.write_files(df, str(tmp_path / "new" / "folder"), "name", "text")
+    found = {r["file"]: r["value"] for r in spark.read.text(folder, wholetext=True).selectExpr("_metadata.file_name AS file", "value").collect()}
+    assert found == {"a.txt": "é\n", "c.txt": "x" * 300_000} | ({"b.txt": ""} if "b.txt" in found else {})
+    assert sorted(os.listdir(folder)) == ["a.txt", "b.txt", "c.txt"]
+    assert os.listdir(files.write_files(df.limit(0), str(tmp_path / "none"), "name", "text")) == []
+
+
 def test_encoding_above_the_dictionary_limit(spark, monkeypatch):
     df = spark.createDataFrame([(1, "b a = z", "a b"), (2, "b a = z", None), (3, "", "c")], "id int, one string, two string")
     found = vocab.fit_vocabulary(words(spark, "a b c a = = ="), "id", "tokens")

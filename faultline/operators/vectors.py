@@ -48,6 +48,13 @@ def frequent_enough(words: DataFrame, min_count: int, max_vocab: int) -> tuple[i
     return int(row["least"] or min_count), int(row["n"] or 0)
 
 
+def _trainer(tokens: str, size: int, window: int, least: int, epochs: int, words: int, task_words: int) -> Word2Vec:
+    return Word2Vec(
+        vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=SEED,
+        numPartitions=max(1, math.ceil(words / task_words)), inputCol=tokens, outputCol="__unused",
+    )
+
+
 def fit_word_vectors(
     train: DataFrame,
     tokens: str,
@@ -66,11 +73,7 @@ def fit_word_vectors(
     """
     terms = train.select(unfold(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     least, words = frequent_enough(terms, min_count, max_vocab)
-    trainer = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=SEED,
-        numPartitions=max(1, math.ceil(words / task_words)), inputCol=tokens, outputCol="__unused",
-    )
-    return trainer.fit(train)
+    return _trainer(tokens, size, window, least, epochs, words, task_words).fit(train)
 
 
 def word_vector_table(model: Word2VecModel) -> DataFrame:
@@ -213,10 +216,7 @@ def all_word_vectors(
     least, words = frequent_enough(terms, min_count, max_vocab)
     if terms.filter(F.col("tf") >= least).isEmpty():
         return terms.select("term", F.array_repeat(F.lit(0.0), size).alias("vec"))
-    trainer = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=SEED,
-        numPartitions=max(1, math.ceil(words / task_words)), inputCol=tokens, outputCol="__unused",
-    )
+    trainer = _trainer(tokens, size, window, least, epochs, words, task_words)
     trained = word_vector_table(trainer.fit(train.filter(F.col(tokens).isNotNull())))
     table = trained.toArrow()
     names = table.column("term").to_pylist()

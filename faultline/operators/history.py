@@ -23,7 +23,7 @@ def _in_fixed_file(deleted: DataFrame) -> DataFrame:
     """Only lines of the fixed file where the fix touched it by name, otherwise all its lines."""
     same = base_name("file") == base_name("fix_file")
     touched = deleted.filter(same).select("fix_id").distinct().withColumn("__touched", F.lit(True))
-    marked = deleted.join(touched, "fix_id", "left")
+    marked = deleted.join(touched.hint("merge"), "fix_id", "left")
     return marked.filter(same | F.col("__touched").isNull()).drop("__touched")
 
 
@@ -63,6 +63,9 @@ def match_methods(fixes: DataFrame, candidates: DataFrame, methods: DataFrame) -
     Tier 1: equal signature up to blanks. Tier 2: the function name occurs in the method name. Within a tier the
     earliest commit and the first method win. Both tiers are equi-joins: the second one meets on a short piece
     of the name before it tests containment, so a file with many methods is not paired with every fix.
+    Methods of equal name shrink to the first one, and fixes that ask for the same function of the same file ask once,
+    so no join pairs repeated rows with each other. The joins are never broadcast, as the size of a text column computed
+    from a small one is estimated far too low.
     ``fixes`` holds fix_id, file_name, func_before; ``candidates`` fix_id, commit, commit_ts.
     """
     wanted = fixes.select(
@@ -71,24 +74,27 @@ def match_methods(fixes: DataFrame, candidates: DataFrame, methods: DataFrame) -
         signature_key("func_before").alias("signature"),
         function_name("func_before").alias("function"),
     )
-    asked = candidates.join(wanted, "fix_id").filter("function IS NOT NULL AND function <> ''")
+    asked = candidates.join(wanted.hint("merge"), "fix_id").filter("function IS NOT NULL AND function <> ''")
     offered = methods.select(
         "commit", "file", base_name("file").alias("base"), "position", "name", strip_blanks("long_name").alias("signature")
     )
+    place = ["commit", "base"]
+    first = F.min(F.struct("position", "file")).alias("method")
 
     def best(matches: DataFrame, tier: int) -> DataFrame:
-        first = F.min(F.struct("commit_ts", "commit", "position", "file"))
-        return matches.groupBy("fix_id").agg(F.struct(F.lit(tier).alias("tier"), first.alias("m")).alias("b"))
-
-    by_signature = best(asked.join(offered.drop("name"), ["commit", "base", "signature"]), 1)
-    open_fixes = asked.join(by_signature.select("fix_id"), "fix_id", "left_anti")
-    named = offered.drop("signature").withColumn("piece", unfold(_keys(F.col("name"))))
-    probe = open_fixes.withColumn("piece", F.substring("function", 1, 3))
-    by_name = best(
-        probe.join(named, ["commit", "base", "piece"]).filter(F.contains(F.col("name"), F.col("function"))), 2
-    )
+        earliest = F.min(F.struct("commit_ts", "commit", "method"))
+        return matches.groupBy("fix_id").agg(F.struct(F.lit(tier).alias("tier"), earliest.alias("m")).alias("b"))
+
+    signed = offered.groupBy(*place, "signature").agg(first)
+    by_signature = best(asked.join(signed.hint("merge"), [*place, "signature"]), 1)
+    open_fixes = asked.join(by_signature.select("fix_id").hint("merge"), "fix_id", "left_anti")
+    named = offered.groupBy(*place, "name").agg(first).withColumn("piece", unfold(_keys(F.col("name"))))
+    probe = open_fixes.select(*place, "function").distinct().withColumn("piece", F.substring("function", 1, 3))
+    holding = probe.join(named.hint("merge"), [*place, "piece"]).filter(F.contains(F.col("name"), F.col("function")))
+    answers = holding.groupBy(*place, "function").agg(F.min("method").alias("method"))
+    by_name = best(open_fixes.join(answers.hint("merge"), [*place, "function"]), 2)
     found = by_signature.unionByName(by_name)
-    return found.select("fix_id", "b.tier", "b.m.commit", "b.m.file", "b.m.position")
+    return found.select("fix_id", "b.tier", "b.m.commit", "b.m.method.file", "b.m.method.position")
 
 
 def introducing_functions(
@@ -97,7 +103,7 @@ def introducing_functions(
     """(fix_id, blaming_commit, blaming_func_before, blaming_func_after); empty texts where nothing matches."""
     best = match_methods(fixes, candidates, methods)
     spans = methods.select("commit", "file", "position", "before_start", "before_end", "after_start", "after_end")
-    texts = best.join(spans, ["commit", "file", "position"]).join(files, ["commit", "file"])
+    texts = best.join(spans.hint("merge"), ["commit", "file", "position"]).join(files.hint("merge"), ["commit", "file"])
 
     def cut(source: str, start: str, end: str) -> Column:
         numbers = F.when(F.col(start) <= F.col(end), F.sequence(F.col(start), F.col(end)))
@@ -109,5 +115,5 @@ def introducing_functions(
         cut("source_before", "before_start", "before_end").alias("blaming_func_before"),
         cut("source_after", "after_start", "after_end").alias("blaming_func_after"),
     )
-    joined = fixes.select("fix_id").join(found, "fix_id", "left")
+    joined = fixes.select("fix_id").join(found.hint("merge"), "fix_id", "left")
     return joined.fillna("", subset=["blaming_func_before", "blaming_func_after"])

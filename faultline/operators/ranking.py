@@ -83,9 +83,9 @@ def _carried(df: DataFrame, group: Sequence[str], bucket: Column, total: Column,
     earlier = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     earlier = earlier.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, combine(F.col("__total")).over(earlier).alias(CARRY))
-    if not group:
-        carry = F.broadcast(carry)  # one row per bucket: at most the number of buckets
-    return keyed.join(carry, keys)
+    # Without groups one row per bucket, at most the number of buckets. Groups may be as many as rows, and the size of
+    # keys computed from a small column is estimated too low, so they are never broadcast.
+    return keyed.join(carry.hint("merge") if group else F.broadcast(carry), keys)
 
 
 def running_sum(

@@ -18,5 +18,5 @@ def blame_fixes(
     """
     candidates = H.blame_candidates(deleted, line_history, bucket)
     found = H.introducing_functions(fixes, candidates, methods, files)
-    known = clean.rows_with_keys(found, candidates, ["fix_id"])
+    known = clean.rows_with_keys(found, candidates.hint("merge"), ["fix_id"])
     return known.filter(F.col("blaming_func_after") != "").withColumnRenamed("fix_id", "id")

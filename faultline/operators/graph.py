@@ -50,7 +50,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1, intermediate:
     frontier = seeds.select("graph_id", "seed", F.col("seed").alias("node")).distinct()
     reached = []
     for hop in range(1, hops + 1):
-        stepped = frontier.join(pairs.withColumnRenamed("a", "node"), ["graph_id", "node"])
+        stepped = frontier.join(pairs.withColumnRenamed("a", "node").hint("merge"), ["graph_id", "node"])
         frontier = stepped.select("graph_id", "seed", F.col("b").alias("node")).distinct()
         if hop < hops:
             frontier = checkpointed(frontier)
@@ -66,14 +66,15 @@ def assign_lines_to_locals(nodes: DataFrame, edges: DataFrame, lines: DataFrame)
     """Line of each local variable: the first line after its block that reads ``type name;`` up to blanks.
 
     ``lines`` holds (graph_id, line_no, text). Returns (graph_id, id, line) and (graph_id, reason) for graphs
-    in which a local has several types, or not exactly one enclosing block.
+    in which a local has several types, or not exactly one enclosing block. No join is broadcast: node tables made from few
+    small columns are estimated far too small.
     """
     local = nodes.filter("label = 'LOCAL'").select("graph_id", F.col("id").alias("seed"), "name")
     seeds = local.select("graph_id", "seed")
     types = nodes.filter("label = 'TYPE'").select("graph_id", F.col("id").alias("node"), F.col("name").alias("type"))
     two_hop = neighbours(reduce_edges(edges, "reftype"), seeds, 2, intermediate=False)
     typed = (
-        two_hop.join(types, ["graph_id", "node"])
+        two_hop.join(types.hint("merge"), ["graph_id", "node"])
         .filter(F.expr("try_cast(node AS bigint)") < MAX_TYPE_ID)
         .groupBy("graph_id", "seed")
         .agg(F.count(F.lit(1)).alias("n_types"), F.min("type").alias("type"))
@@ -83,7 +84,7 @@ def assign_lines_to_locals(nodes: DataFrame, edges: DataFrame, lines: DataFrame)
         "graph_id", F.col("id").alias("node"), F.col("line").alias("block_line"), F.lit(1).alias("is_block")
     )
     enclosed = (
-        one_hop.join(blocks, ["graph_id", "node"], "left")
+        one_hop.join(blocks.hint("merge"), ["graph_id", "node"], "left")
         .groupBy("graph_id", "seed")
         .agg(
             F.count(F.lit(1)).alias("n_parents"),
@@ -91,13 +92,13 @@ def assign_lines_to_locals(nodes: DataFrame, edges: DataFrame, lines: DataFrame)
             F.min("block_line").alias("block_line"),
         )
     )
-    placed = typed.join(enclosed, ["graph_id", "seed"], "left")
+    placed = typed.join(enclosed.hint("merge"), ["graph_id", "seed"], "left")
     one_type, one_block = F.col("n_types") == 1, (F.col("n_parents") == 1) & (F.col("n_blocks") == 1)
     reason = F.when(~one_type, "several types").when(~F.coalesce(one_block, F.lit(False)), "not one enclosing block")
     rejects = placed.select("graph_id", reason.alias("reason")).filter("reason IS NOT NULL").distinct()
     wanted = (
         placed.filter(one_type & one_block)
-        .join(local, ["graph_id", "seed"])
+        .join(local.hint("merge"), ["graph_id", "seed"])
         .select(
             "graph_id",
             "seed",
@@ -106,7 +107,7 @@ def assign_lines_to_locals(nodes: DataFrame, edges: DataFrame, lines: DataFrame)
         )
     )
     stripped = lines.select("graph_id", "line_no", strip_blanks("text").alias("declared"))
-    found = wanted.join(stripped, ["graph_id", "declared"]).filter("line_no > block_line")
+    found = wanted.join(stripped.hint("merge"), ["graph_id", "declared"]).filter("line_no > block_line")
     assigned = found.groupBy("graph_id", F.col("seed").alias("id")).agg(F.min("line_no").cast("int").alias("line"))
     return assigned, rejects
 

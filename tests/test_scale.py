@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from faultline.operators import graph as G
 from faultline.operators import history as H
 
 
@@ -44,3 +45,20 @@ def test_introducing_functions_send_no_table_to_the_driver(spark):
     found = H.introducing_functions(fixes, candidates, methods, files)
     assert never_broadcast(found)
     assert [tuple(r) for r in found.collect()] == [(1, 7, "old", "new")]
+
+
+def test_lines_of_locals_send_no_table_to_the_driver(spark):
+    nodes = spark.createDataFrame(
+        [(1, "10", "LOCAL", "v", None), (1, "5", "TYPE", "int", None), (1, "11", "BLOCK", "", 2), (2, "10", "LOCAL", "w", None),
+         (2, "5", "TYPE", "int", None), (2, "12", "CALL", "", None)],
+        "graph_id long, id string, label string, name string, line int",
+    )
+    edges = spark.createDataFrame(
+        [(g, a, b, kind) for g, up in ((1, "11"), (2, "12")) for a, b, kind in (("10", "9", "REF"), ("9", "5", "EVAL_TYPE"), (up, "10", "AST"))],
+        "graph_id long, innode string, outnode string, etype string",
+    )
+    lines = spark.createDataFrame([(1, i, "int v;") for i in (1, 3, 4)], "graph_id long, line_no int, text string")
+    assigned, rejects = G.assign_lines_to_locals(nodes, edges, lines)
+    assert never_broadcast(assigned) and never_broadcast(rejects)
+    assert [tuple(r) for r in assigned.collect()] == [(1, "10", 3)]
+    assert [tuple(r) for r in rejects.collect()] == [(2, "not one enclosing block")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import graph as G
 from faultline.operators import history as H
+from faultline.operators import runs as R
 
 
 def never_broadcast(df):
@@ -62,3 +63,26 @@ def test_lines_of_locals_send_no_table_to_the_driver(spark):
     assert never_broadcast(assigned) and never_broadcast(rejects)
     assert [tuple(r) for r in assigned.collect()] == [(1, "10", 3)]
     assert [tuple(r) for r in rejects.collect()] == [(2, "not one enclosing block")]
+
+
+def _log_runs(spark):
+    epoch = "Epoch {0}/9\n - {0}s - loss: 0.5\nValidation time: {0}.5 s.\nSaving best model at epoch {0}\n".format
+    text = "Current partition: 0\nRun # 0\n" + epoch(1) + epoch(2) + "Evaluating the best model on valid\nx\n"
+    text += "Evaluating the best model on test\nValidation time: 7.5 s.\nRun # 1\n" + epoch(1) + epoch(3)
+    return R.log_runs(spark.createDataFrame([("a", text)], "path string, text string"))
+
+
+def test_log_times_send_no_table_to_the_driver(spark):
+    runs = _log_runs(spark)
+    times = R.log_times(runs, R.log_epochs(runs))
+    assert never_broadcast(times)
+    columns = ["run", "number_of_epoch_at_best_model", "total_train_time_at_finish", "final_evaluation_time"]
+    assert sorted(tuple(r) for r in times.select(*columns).collect()) == [(0, 2, 3, 7.5), (1, 3, 4, None)]
+
+
+def test_log_violations_keep_epochs_single(spark):
+    runs = _log_runs(spark)
+    found = R.log_violations(runs, R.log_epochs(runs), partitions=1, runs_each=2)
+    # Several distinct counts in one step multiply its rows.
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 0, 1, "epoch numbers"), ("a", 0, 1, "evaluation blocks")]

@@ -94,6 +94,11 @@ def result_file_columns(spark, d):
 # --- streaming -----------------------------------------------------------------------------------------
 
 
+def _stream_path(d, name):
+    """Pattern that only the table matches: a stream reads a table of one file, or of a folder of files, by a pattern."""
+    return f"{d}/[{name[0]}]{name[1:]}.parquet"
+
+
 @query(
     "streamed_functions",
     f"""SELECT doc_id, code, {sql_split('doc_id')} AS partition FROM {_SHORT_CLEAN}
@@ -101,7 +106,7 @@ def result_file_columns(spark, d):
 )
 def streamed_functions(spark, d):
     schema = table(spark, d, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    stream = spark.readStream.schema(schema).parquet(_stream_path(d, "documents"))
     prepared = texts.prepare_stream(stream.select("doc_id", F.col("text").alias("code")), "doc_id", "code")
     path = texts.run_available(prepared, stage_path(spark, "stream"), stage_path(spark, "progress"))
     return spark.read.parquet(path).select("doc_id", "code", "partition")
@@ -125,7 +130,7 @@ def streamed_token_ids(spark, d):
     docs = table(spark, d, "documents")
     batch = texts.prepare_stream(docs.select("doc_id", F.col("text").alias("code")), "doc_id", "code")
     found = vocab.freeze(vocab.fit_vocabulary(batch.filter("partition = 'train'"), "doc_id", "tokens"))
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    stream = spark.readStream.schema(docs.schema).parquet(_stream_path(d, "documents"))
     prepared = texts.prepare_stream(stream.select("doc_id", F.col("text").alias("code")), "doc_id", "code")
     encoded = texts.encode_stream(prepared, found, vocab.GRAPH_MODEL).select("doc_id", "ids")
     path = texts.run_available(encoded, stage_path(spark, "stream"), stage_path(spark, "progress"))

@@ -2,11 +2,15 @@
 
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import graph as G
 from faultline.operators import history as H
 from faultline.operators import runs as R
+from faultline.registry import QUERIES
 
 
 def never_broadcast(df):
@@ -86,3 +90,22 @@ def test_log_violations_keep_epochs_single(spark):
     # Several distinct counts in one step multiply its rows.
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == [("a", 0, 1, "epoch numbers"), ("a", 0, 1, "evaluation blocks")]
+
+
+@pytest.mark.parametrize("query", ["streamed_functions", "streamed_token_ids"])
+def test_streams_read_tables_of_one_and_of_many_files(spark, tmp_path, query):
+    docs = spark.range(8).select(F.col("id").alias("doc_id"), F.lit("a b\nc").alias("text"))
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    pq.write_table(pa.table({"doc_id": range(8), "text": ["a b\nc"] * 8}), tmp_path / "one" / "documents.parquet")
+    rows = [sorted(tuple(r) for r in QUERIES[query](spark, str(tmp_path / kind)).collect()) for kind in ("many", "one")]
+    assert len(rows[0]) == 8 and rows[0] == rows[1]
+
+
+def test_pairing_keys_pass_64_bits(spark, tmp_path):
+    rows = [(9_000_000 + i, i, 1, 1, float(i % 5), 0.1, "R", "OF"[i % 2]) for i in range(40)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["signed_rank_test"](spark, str(tmp_path)).collect()
+    assert len(found) == 1 and found[0]["n"] > 0
+    assert len(QUERIES["compared_results"](spark, str(tmp_path)).collect()) == 4

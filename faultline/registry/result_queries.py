@@ -268,9 +268,10 @@ def _sample(spark, d):
     return table(spark, d, "lineitem").select(
         F.when(F.col("l_linestatus") == "O", F.lit("A")).otherwise(F.lit("B")).alias("side"),
         F.col("l_returnflag").alias("scenario"),
+        # Wider than 64 bits, which order keys of a larger table leave; the digits are the same.
         F.expr(
-            "l_orderkey * 10000000000000 + l_partkey * 100000000 + l_suppkey * 1000 + l_linenumber * 100 "
-            "+ cast(l_quantity AS bigint)"
+            "cast(l_orderkey AS decimal(19, 0)) * 10000000000000BD + cast(l_partkey AS decimal(19, 0)) * 100000000BD "
+            "+ l_suppkey * 1000 + l_linenumber * 100 + cast(l_quantity AS bigint)"
         ).alias("key"),
         F.col("l_discount").alias("discount"),
         F.col("l_quantity").alias("quantity"),

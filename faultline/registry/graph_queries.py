@@ -329,7 +329,7 @@ def graph_files(spark, d):
         (codes, CODE_SUFFIX),
     )
     for rows, suffix in pairs:
-        write_files(rows.withColumn("name", F.concat(key, F.lit(suffix))), folder, "name", "text")
+        write_files(rows.withColumn("name", F.concat(key, F.lit(suffix))), folder, "name", "text", sliced=True)
     nodes, edges, rejects = read_graphs(spark, folder)
     none = F.lit(None).cast("string")
     shape = lambda part, a, b, c, line=F.lit(None): [

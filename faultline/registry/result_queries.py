@@ -618,5 +618,5 @@ def result_files(spark, d):
         F.sort_array(F.collect_list("line")).alias("lines")
     )
     texts = files.select("name", F.concat("head", F.lit("\r\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
-    folder = write_files(texts, stage_path(spark, "results"), "name", "text")
+    folder = write_files(texts, stage_path(spark, "results"), "name", "text", sliced=True)
     return read_results(spark, folder, 5, "epoch int, mcc double, f1 double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.cluster import stage_path
 from faultline.functions.text import unfold
+from faultline.sources.files import read_files
 
 # File name endings and node properties; only the last property may be absent from a file.
 NODES_SUFFIX, EDGES_SUFFIX, CODE_SUFFIX = ".c.nodes.json", ".c.edges.json", ".c"
@@ -16,9 +17,8 @@ OPTIONAL = ("controlStructureType",)
 
 def read_texts(spark: SparkSession, folder: str, suffix: str, column: str) -> DataFrame:
     """(graph_id, text) of all files with an ending; the file name in front of the ending is the id."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}")
-    stem = F.expr(f"substr(_metadata.file_name, 1, length(_metadata.file_name) - {len(suffix)})")
-    return files.select(stem.alias("graph_id"), F.col("value").alias(column))
+    stem = F.expr(f"substr(name, 1, length(name) - {len(suffix)})")
+    return read_files(spark, folder, suffix).select(stem.alias("graph_id"), F.col("text").alias(column))
 
 
 def parse_graphs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -68,7 +68,7 @@ def read_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     nodes = read_texts(spark, folder, NODES_SUFFIX, "nodes_json")
     edges = read_texts(spark, folder, EDGES_SUFFIX, "edges_json")
     path = stage_path(spark, "graph-texts")
-    nodes.join(edges, "graph_id", "full").write.parquet(path)
+    nodes.join(edges.hint("merge"), "graph_id", "full").write.parquet(path)
     return parse_graphs(spark.read.parquet(path))
 
 

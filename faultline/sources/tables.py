@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.cluster import stage_path
 from faultline.operators.ranking import row_index
+from faultline.sources.files import read_files
 
 # Names of the index column, and of the parts of result file names.
 INDEX_COLUMN = "Unnamed: 0"
@@ -117,8 +119,10 @@ def read_results(spark: SparkSession, folder: str, parts: int, schema: T.StructT
     a cell holds no line break. Rows have ``schema`` and the columns of the file name; file names may repeat rows.
     """
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*").select("value", F.col("_metadata.file_path").alias("__file"))
-    named = with_file_columns(texts, F.col("__file"), parts)
+    # The small files are opened once: the test of the headers and the rows both read the staged texts.
+    path = stage_path(spark, "result-texts")
+    read_files(spark, folder).withColumnsRenamed({"name": "__file", "text": "value"}).write.parquet(path)
+    named = with_file_columns(spark.read.parquet(path), F.col("__file"), parts)
     width = len(wanted) + 1
     cells = ", ".join(f"c{i} string" for i in range(width))
 

@@ -11,6 +11,8 @@ from faultline.operators import graph as G
 from faultline.operators import history as H
 from faultline.operators import runs as R
 from faultline.registry import QUERIES
+from faultline.sources import files
+from faultline.sources import graphs as S
 
 
 def never_broadcast(df):
@@ -109,3 +111,18 @@ def test_pairing_keys_pass_64_bits(spark, tmp_path):
     found = QUERIES["signed_rank_test"](spark, str(tmp_path)).collect()
     assert len(found) == 1 and found[0]["n"] > 0
     assert len(QUERIES["compared_results"](spark, str(tmp_path)).collect()) == 4
+
+
+def test_files_are_listed_and_read_by_the_tasks(spark, tmp_path):
+    texts = spark.range(300).select(F.concat(F.col("id").cast("string"), F.lit(".c")).alias("name"), F.concat(F.lit("ä\r\n"), "id").alias("text"))
+    flat, sliced = (files.write_files(texts, str(tmp_path / str(s)), "name", "text", sliced=s) for s in (False, True))
+    for name in ("empty.c", "_hidden.c", ".hidden.c", "other.txt"):
+        (tmp_path / "False" / name).write_text("" if name == "empty.c" else "x")
+    (tmp_path / "False" / "sub").mkdir()
+    (tmp_path / "False" / "sub" / "1.c").write_text("x")
+    for folder in (flat, sliced):
+        found = files.read_files(spark, folder, ".c")
+        # A scan of files would list them on the driver.
+        assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == sorted((f"{i}.c", f"ä\r\n{i}") for i in range(300))
+    assert S.read_texts(spark, sliced, ".c", "code").filter("graph_id = '7'").first()["code"] == "ä\r\n7"

@@ -39,7 +39,7 @@ def blame_candidates(deleted: DataFrame, history: DataFrame, bucket: Column) ->
     asks = _in_fixed_file(deleted).select(*LINE, F.col("fix_ts").alias("ts"), F.lit(0).alias("kind"), "fix_id")
     events = writes.unionByName(asks, allowMissingColumns=True)
     order = [F.col("ts"), F.col("kind")]  # a fix comes before a write of the same instant
-    latest = running_max(events, F.col("write"), "latest", order, bucket, LINE)
+    latest = running_max(events, F.col("write"), "latest", order, bucket, LINE, many_groups=True)
     found = latest.filter("kind = 0 AND latest IS NOT NULL")
     return found.select("fix_id", "latest.commit", "latest.commit_ts").distinct()
 

@@ -75,17 +75,24 @@ def quantile_bucket(df: DataFrame, order: str, slices: int | None = None, tie: s
     return _between(order, bounds, leaf)
 
 
-def _carried(df: DataFrame, group: Sequence[str], bucket: Column, total: Column, combine) -> DataFrame:
-    """``df`` plus its bucket and the combined totals of all earlier buckets of the same group."""
+def _carried(
+    df: DataFrame, group: Sequence[str], bucket: Column, total: Column, combine, many_groups: bool = False
+) -> DataFrame:
+    """``df`` plus its bucket and the combined totals of all earlier buckets of the same group.
+
+    With ``many_groups`` the totals are never broadcast: keys computed from small columns are estimated too small.
+    """
     keyed = df.withColumn(BUCKET, bucket)
     keys = [*group, BUCKET]
     totals = keyed.groupBy(*keys).agg(total.alias("__total"))
     earlier = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     earlier = earlier.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, combine(F.col("__total")).over(earlier).alias(CARRY))
-    # Without groups one row per bucket, at most the number of buckets. Groups may be as many as rows, and the size of
-    # keys computed from a small column is estimated too low, so they are never broadcast.
-    return keyed.join(carry.hint("merge") if group else F.broadcast(carry), keys)
+    if not group:
+        carry = F.broadcast(carry)  # one row per bucket: at most the number of buckets
+    elif many_groups:
+        carry = carry.hint("merge")
+    return keyed.join(carry, keys)
 
 
 def running_sum(
@@ -116,9 +123,10 @@ def running_max(
     bucket: Column,
     group: Sequence[str] = (),
     before: bool = False,
+    many_groups: bool = False,
 ) -> DataFrame:
     """Running maximum per group in ``order``; ``before=True`` leaves the current row out."""
-    carried = _carried(df, group, bucket, F.max(value), F.max)
+    carried = _carried(df, group, bucket, F.max(value), F.max, many_groups)
     within = Window.partitionBy(*group, BUCKET).orderBy(*order)
     within = within.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     return carried.withColumn(out, F.greatest(F.col(CARRY), F.max(value).over(within))).drop(BUCKET, CARRY)

@@ -10,13 +10,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.cluster import stage_path
+from faultline.cluster import checkpointed, stage_path
 from faultline.functions.text import unfold
 from faultline.operators.vocab import fits_dictionary
 
@@ -243,22 +242,29 @@ def all_word_vectors(
 
 
 def document_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, size: int, out: str = "vec") -> DataFrame:
-    """Mean of the known word vectors of every text, zeros where none is known.
+    """Mean of the known word vectors of every text, zeros where none is known. ``size`` is the length of the vectors.
 
-    Words are counted per text first, so a word enters a mean once with its count as weight. The vector table is
-    broadcast only within the dictionary limit; every task then sums up whole texts before the shuffle.
+    Within the dictionary limit the vector table is broadcast, and every task sums up whole texts, one column per
+    component, so that one row per text is shuffled and no vector is. Beyond it words are counted per text first and
+    joined, so a word enters a mean once with its count as weight.
     """
-    counted = df.select(key, unfold(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    side = vectors.select("term", array_to_vector(F.col("vec").cast("array<double>")).alias("__v"))
-    known = counted.join(F.broadcast(side) if fits_dictionary(side.select("term")) else side, "term")
-    means = known.groupBy(key).agg(Summarizer.mean(F.col("__v"), F.col("tf").cast("double")).alias("__m"))
-    joined = df.select(key).join(means.select(key, vector_to_array("__m").alias("__m")), key, "left")
+    side = checkpointed(vectors.select("term", F.col("vec").cast("array<double>").alias("__v")))
+    words = df.select(key, unfold(tokens).alias("term"))
+    if fits_dictionary(side.select("term")):
+        known = words.join(F.broadcast(side), "term").withColumn("tf", F.lit(1.0))
+    else:
+        known = words.groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")).join(side, "term")
+    known = known.filter("__v IS NOT NULL")
+    parts = [F.sum(F.get("__v", F.lit(i)) * F.col("tf")).alias(f"__s{i}") for i in range(size)]
+    sums = known.groupBy(key).agg(F.sum("tf").alias("__n"), *parts)
+    means = sums.select(key, F.array(*[F.col(f"__s{i}") / F.col("__n") for i in range(size)]).alias("__m"))
+    joined = df.select(key).join(means.hint("merge"), key, "left")
     return joined.select(key, F.coalesce("__m", F.array_repeat(F.lit(0.0), size)).alias(out))
 
 
 def pair_vectors(previous: DataFrame, current: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """Vectors of the old and the new text of a change, one behind the other."""
-    return previous.join(current.withColumnRenamed(vec, "__cur"), key).select(
+    return previous.join(current.withColumnRenamed(vec, "__cur").hint("merge"), key).select(
         key, F.concat(vec, "__cur").alias(vec)
     )
 

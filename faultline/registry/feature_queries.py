@@ -244,7 +244,7 @@ def document_vectors(spark, d):
 )
 def pair_vector_sizes(spark, d):
     docs = _docs(spark, d)
-    words = _word_vectors(spark, d, _vocabulary(docs))
+    words = checkpointed(_word_vectors(spark, d, _vocabulary(docs)))
     one = vectors.document_vectors(docs, "doc_id", "tokens", words, 64)
     lowered = docs.select("doc_id", tokenize_code(F.lower("text")).alias("tokens"))
     other = vectors.document_vectors(lowered, "doc_id", "tokens", words, 64)
@@ -267,6 +267,7 @@ def pair_vector_values(spark, d):
     docs = _docs(spark, d)
     ends = F.col("token").endswith("e").cast("double")
     words = _vocabulary(docs).select(F.col("token").alias("term"), F.array(F.length("token").cast("double"), ends).alias("vec"))
+    words = checkpointed(words)
     whole = vectors.document_vectors(docs, "doc_id", "tokens", words, 2)
     head = vectors.document_vectors(docs.withColumn("tokens", F.slice("tokens", 1, 40)), "doc_id", "tokens", words, 2)
     both = vectors.pair_vectors(whole, head, "doc_id")

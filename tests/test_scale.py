@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.operators import graph as G
 from faultline.operators import history as H
 from faultline.operators import runs as R
+from faultline.operators import vectors
 from faultline.registry import QUERIES
 from faultline.sources import files
 from faultline.sources import graphs as S
@@ -126,3 +127,19 @@ def test_files_are_listed_and_read_by_the_tasks(spark, tmp_path):
         assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(tuple(r) for r in found.collect()) == sorted((f"{i}.c", f"ä\r\n{i}") for i in range(300))
     assert S.read_texts(spark, sliced, ".c", "code").filter("graph_id = '7'").first()["code"] == "ä\r\n7"
+
+
+def test_document_vectors_shuffle_texts_only(spark):
+    words = [("a" * n, [float(n), None if n == 9 else 1.0]) for n in range(1, 10)] + [("none", None)]
+    table = spark.createDataFrame(words, "term string, vec array<double>")
+    tokens = ["a" * (1 + i * i % 7) for i in range(127)]
+    tokens += ["a" * 9, "none", "unknown"]
+    docs = spark.createDataFrame([(1, tokens), (2, ["unknown"]), (2, ["a"]), (3, None)], "id long, tokens array<string>")
+    found = vectors.document_vectors(docs, "id", "tokens", table, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # One row per text is shuffled, no row per text and word.
+    assert plan.count("Exchange hashpartitioning") == 2
+    known = [len(t) for t in tokens[:128]]
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, [sum(known) / 128, 127 / 128]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])
+    ]

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from faultline.cluster import checkpointed
 from faultline.functions.text import TOKEN_PATTERN, tokenize_code
-from faultline.operators import parallel, splits, vectors, vocab
+from faultline.operators import parallel, splits, trees, vectors, vocab
 from faultline.plans import baseline
 from faultline.registry.catalog import query, sql_quote, table
 from faultline.registry.clean_queries import sql_split
@@ -205,11 +205,9 @@ def subword_counts(spark, d):
 def subword_vectors(spark, d):
     docs = _docs(spark, d).select("doc_id", "partition", "text")
     features = vocab.subword_features(docs.filter("partition = 'train'"), docs, "doc_id", "text")[0]
-    # v is sparse unless most terms are in the text
-    pairs = lambda v: zip(v.indices, v.values) if hasattr(v, "indices") else enumerate(v.values)
-    cells = F.udf(lambda v: [(int(i), int(n)) for i, n in pairs(v) if n], "array<struct<idx:int,tf:long>>")
-    vectors_of = baseline.stacked_counts(docs, "text", checkpointed(features)).select("doc_id", "features")
-    return vectors_of.select("doc_id", F.inline(cells("features")))
+    vectors_of = baseline.stacked_counts(docs, "text", checkpointed(features)).select("doc_id", *trees.entries("features"))
+    cells = vectors_of.select("doc_id", F.inline(F.arrays_zip("at", "values"))).filter("values <> 0")
+    return cells.select("doc_id", F.col("at").alias("idx"), F.col("values").cast("long").alias("tf"))
 
 
 # --- vectors: the word with id i has the embedding with vec_id i ---------------------------------------

@@ -1,16 +1,19 @@
 """Steps that have to stand large tables: no table is sent whole to the driver, and repeated rows are not paired."""
 
+import re
 import time
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import grams
 from faultline.operators import graph as G
 from faultline.operators import history as H
 from faultline.operators import runs as R
-from faultline.operators import vectors
+from faultline.operators import models, vectors, vocab
 from faultline.registry import QUERIES
 from faultline.sources import files
 from faultline.sources import graphs as S
@@ -143,3 +146,40 @@ def test_document_vectors_shuffle_texts_only(spark):
     assert sorted(tuple(r) for r in found.collect()) == [
         (1, [sum(known) / 128, 127 / 128]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])
     ]
+
+
+@pytest.mark.parametrize("alphabet", ["ab \n", "abcdefghijk éß😀", "".join(chr(c) for c in range(0x4E00, 0x4E00 + 4_000))])
+def test_grams_are_counted_in_the_tasks(spark, monkeypatch, alphabet):
+    at = iter(range(10**6))
+    texts = ["".join(alphabet[next(at) ** 2 * 7919 % len(alphabet)] for _ in range(n)) for n in (0, 1, 2, 5, 40, 2_500)]
+    rows = [*enumerate(texts), (9, texts[4]), (4, texts[5]), (None, texts[3]), (None, texts[3]), (10, None)]
+    df = spark.createDataFrame(rows, "id long, c string").repartition(3)
+    found = vocab.fit_char_grams(df, "c", 2, 8, min_df=2)
+    # One row per gram of a task is shuffled, no row per text and gram.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    each = [(key, {g for g in _grams(text, 2, 8)}) for key, text in rows if text is not None]
+    df_of = {g: sum(g in s for _, s in each) for _, s in each for g in s}
+    assert {r["term"]: r["df"] for r in found.collect()} == {g: n for g, n in df_of.items() if n >= 2}
+
+    terms = vocab.index_terms(found.select("term"))
+    idx = {r["term"]: r["idx"] for r in terms.collect()}
+    want = Counter((key, idx[g]) for key, text in rows for g in _grams(text, 2, 8) if g in idx)
+    assert want
+    got = vocab.char_counts(df, "id", "c", terms, 2, 8)
+    assert sorted(map(str, got.collect())) == sorted(f"Row(id={k}, idx={i}, tf={n})" for (k, i), n in want.items())
+    vecs = models.gram_count_vectors(df, "c", terms, 2, 8)
+    assert "Generate" not in vecs._jdf.queryExecution().executedPlan().toString()
+    sums = Counter()
+    for r in vecs.collect():
+        assert len(r["features"]) == len(idx)
+        sums.update({(r["id"], int(i)): int(n) for i, n in zip(r["features"].indices, r["features"].values, strict=True)})
+    assert sums == want
+    monkeypatch.setattr(grams, "LISTED_GRAMS", 1)
+    joined = vocab.char_counts(df, "id", "c", terms, 2, 8).collect()
+    assert sorted(map(str, joined)) == sorted(f"Row(id={k}, idx={i}, tf={n})" for (k, i), n in want.items())
+
+
+def _grams(text, low, high):
+    text = re.sub(r"\s\s+", " ", text or "", flags=re.ASCII)
+    return [text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1)]

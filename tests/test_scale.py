@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from faultline import cluster
 from faultline.operators import grams
 from faultline.operators import graph as G
 from faultline.operators import history as H
@@ -183,3 +184,38 @@ def test_grams_are_counted_in_the_tasks(spark, monkeypatch, alphabet):
 def _grams(text, low, high):
     text = re.sub(r"\s\s+", " ", text or "", flags=re.ASCII)
     return [text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1)]
+
+
+def test_steps_share_their_shuffles(spark):
+    rows = [(g, f"n{i}", f"n{(i * 7 + g) % 9}") for g in (1, 2) for i in range(9)] + [(1, "n1", None), (2, None, "n3"), (None, "n1", "n2"), (1, "n1", "n2"), (1, "n1", "n2")]
+    edges = spark.createDataFrame(rows, "graph_id long, innode string, outnode string")
+    seeds = spark.createDataFrame([(1, "n1"), (1, "n1"), (1, "n4"), (2, "n3"), (2, None), (None, "n1"), (2, "none")], "graph_id long, seed string")
+    pairs = {(g, a, b) for g, x, y in rows for a, b in ((x, y), (y, x)) if g and a}
+    front, want = {(g, s, s) for g, s in [(1, "n1"), (1, "n4"), (2, "n3")]}, set()
+    for hop in (1, 2, 3):
+        front = {(g, s, b) for g, s, n in front for h, a, b in pairs if (h, a) == (g, n)}
+        want |= {(g, s, hop, n) for g, s, n in front}
+    got = [tuple(r) for r in G.neighbours(edges, seeds, 3).collect()]
+    assert len(got) == len(want) and set(got) == want
+    whole = G.neighbours(edges.dropna(), seeds, 3)
+    whole.collect()
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # Frontiers are not written, and the pairs are shuffled once for the three steps.
+    assert "ExistingRDD" not in plan.replace("Scan ExistingRDD[graph_id", "") and "ReusedExchange" in plan
+    assert len(G.neighbours(edges, seeds, 3, intermediate=False).collect()) == sum(h == 3 for _, _, h, _ in want)
+    assert {tuple(r) for r in G.neighbours(edges, seeds, 1).collect()} == {r for r in want if r[2] == 1}
+
+
+def test_dependences_use_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TASK_ROWS", 100)
+    n = 500
+    lines = spark.range(1, n + 1).select(F.lit(1).alias("graph_id"), F.col("id").cast("int").alias("line_no"), F.concat(F.lit("l"), "id").alias("text"))
+    nodes = lines.select("graph_id", F.col("line_no").alias("line"))
+    edges = lines.filter(f"line_no < {n}").select("graph_id", F.col("line_no").alias("innode"), (F.col("line_no") + 1).alias("outnode"), F.lit("CDG").alias("etype"))
+    sets, texts = G.dependence_sets(nodes, edges), G.dependence_contexts(nodes, edges, lines)
+    for found in (sets, texts):
+        assert found.rdd.getNumPartitions() == 20
+    assert {(r["line"], tuple(r["control"]), tuple(r["data"])) for r in sets.collect()} == {
+        (i, tuple(k for k in (i - 1, i, i + 1) if 1 <= k <= n), (i,)) for i in range(1, n + 1)
+    }
+    assert {r["line"]: r["control"] for r in texts.collect()}[2] == "l1\nl2\nl3"

@@ -112,23 +112,20 @@ def encode(
 def encode_joined(df: DataFrame, tokens: str, vocabulary: DataFrame, out: str, unknown: int, key: str | None = None) -> DataFrame:
     """The same ids through a join, for vocabularies of any size.
 
-    Different token arrays are encoded once and joined back by their digest. The join runs on distinct (array, token)
-    pairs; the FREQUENT first ids, which are in almost every text, are sent to the texts, the others are shuffled.
+    Different token arrays are encoded once and joined back by their digest. The FREQUENT first ids, which are in almost
+    every text, are a literal dictionary; the join runs on distinct (array, token) pairs of the other tokens.
     """
     keyed = df.withColumn("__key", F.col(key) if key else F.md5(F.to_json(tokens)))
     texts = keyed.select("__key", tokens).dropDuplicates(["__key"])
-    words = texts.select("__key", unfold(F.array_distinct(tokens)).alias("__token"))
     side = checkpointed(vocabulary.select(F.col("token").alias("__token"), F.col("id").alias("__id")))
-    often = side.orderBy("__id").limit(FREQUENT)
-    met = words.join(F.broadcast(often), "__token")
-    rare = words.join(F.broadcast(often.select("__token")), "__token", "left_anti").join(
-        side.join(often, "__token", "left_anti"), "__token"
-    )
-    per_row = met.unionByName(rare).groupBy("__key").agg(
+    often = side.orderBy("__id").limit(FREQUENT).select(F.col("__token").alias("token"), F.col("__id").alias("id"))
+    found = freeze(often)
+    others = F.filter(F.array_distinct(tokens), lambda t: found.id_of(t).isNull())
+    per_row = texts.select("__key", unfold(others).alias("__token")).join(side, "__token").groupBy("__key").agg(
         F.map_from_entries(F.collect_list(F.struct("__token", "__id"))).alias("__ids")
     )
     joined = keyed.join(per_row, "__key", "left")
-    ids = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("__ids", t), F.lit(unknown)))
+    ids = F.transform(tokens, lambda t: F.coalesce(found.id_of(t), F.try_element_at("__ids", t), F.lit(unknown)))
     return joined.withColumn(out, ids).drop("__ids", "__key")
 
 

@@ -118,7 +118,7 @@ def encode_joined(df: DataFrame, tokens: str, vocabulary: DataFrame, out: str, u
     keyed = df.withColumn("__key", F.col(key) if key else F.md5(F.to_json(tokens)))
     texts = keyed.select("__key", tokens).dropDuplicates(["__key"])
     side = checkpointed(vocabulary.select(F.col("token").alias("__token"), F.col("id").alias("__id")))
-    often = side.orderBy("__id").limit(FREQUENT).select(F.col("__token").alias("token"), F.col("__id").alias("id"))
+    often = side.orderBy("__id").limit(min(FREQUENT, DICTIONARY_ROWS)).select(F.col("__token").alias("token"), F.col("__id").alias("id"))
     found = freeze(often)
     others = F.filter(F.array_distinct(tokens), lambda t: found.id_of(t).isNull())
     per_row = texts.select("__key", unfold(others).alias("__token")).join(side, "__token").groupBy("__key").agg(

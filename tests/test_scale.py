@@ -219,3 +219,15 @@ def test_dependences_use_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
         (i, tuple(k for k in (i - 1, i, i + 1) if 1 <= k <= n), (i,)) for i in range(1, n + 1)
     }
     assert {r["line"]: r["control"] for r in texts.collect()}[2] == "l1\nl2\nl3"
+
+
+def test_frequent_tokens_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "FREQUENT", 2)
+    found = spark.createDataFrame([(t, i + 2) for i, t in enumerate("abcd")], "token string, id int")
+    rows = [(1, list("abcdxa")), (1, list("abcdxa")), (2, ["a", None]), (3, []), (4, None), (5, ["x", "d", "d"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    ids = vocab.encode_joined(df, "tokens", found, "ids", 1, "id")
+    # Tokens are unfolded once, for the join of the others.
+    assert ids._jdf.queryExecution().executedPlan().toString().count("Generate") == 1
+    got = [(r["id"], r["ids"]) for r in ids.collect()]
+    assert sorted(got, key=str) == sorted([(1, [2, 3, 4, 5, 1, 2])] * 2 + [(2, [2, 1]), (3, []), (4, None), (5, [1, 5, 5])], key=str)

@@ -323,6 +323,25 @@ def test_suffixes(docs, empty, monkeypatch, limit):
     assert suffixes.remove_repeated(empty).count() == 0
 
 
+def test_suffixes_fetch_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "FILE_PASSAGES", 1)
+    rng = np.random.default_rng(2)
+    word = lambda n, size: " ".join("".join(rng.choice(list("abcdefgh"), size)) for _ in range(n))
+    long, short = word(60, 7), word(60, 5)  # 479 and 359 bytes: both over 50 words, only one has a window
+    texts = [f"{word(80, 8)} {p} {word(80, 8)}" for p in (long, long, short, short, "alone", long + long)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fetches, kept = [], suffixes._bodies
+    monkeypatch.setattr(suffixes, "_bodies", lambda *some: fetches.append(kept(*some)) or fetches[-1])
+    made = {r.doc_id: r for r in suffixes.remove_repeated(docs).collect()}
+    assert len(fetches) == 1  # files of one and of many passages share it
+    plan = fetches[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc" in plan  # only the names of large files may be broadcast
+    expected = {k: x for k, x in enumerate(brute_repeats([x.encode() for x in texts]))}
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for k, r in made.items()} == expected
+    assert [made[k].n_removed >= 479 for k in range(6)] == [True, True, False, False, False, True]
+    assert [made[k].n_bytes for k in range(6)] == [len(x) for x in texts]  # the size of the whole text, removed bytes included
+
+
 def test_two_stage_sorting():
     rng = np.random.default_rng(7)
     for _ in range(8):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.cluster import DICTIONARY_ROWS, checkpointed
 from faultline.functions.text import let, tokenize_code, unfold, unfold_numbered
@@ -40,9 +42,7 @@ def fit_vocabulary(
     row numbers below run over a bounded table.
     """
     words = train.select(F.col(key).alias("__key"), unfold_numbered(tokens, "__pos", "token"))
-    counted = words.groupBy("token").agg(
-        F.count(F.lit(1)).alias("freq"), F.min(F.struct("__key", "__pos")).alias("__first")
-    )
+    counted = words.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.min(_place(words)).alias("__first"))
     top = (
         counted.filter(F.col("freq") >= min_freq)
         .orderBy(F.col("freq").desc(), "__first")
@@ -52,6 +52,17 @@ def fit_vocabulary(
     return top.select("token", (rank - 1 + reserved).cast("int").alias("id"), "freq")
 
 
+def _place(words: DataFrame) -> Column:
+    """A value in the order of (``__key``, ``__pos``), missing keys first.
+
+    For whole numbers it is one decimal, whose minimum is kept in a hash table; structs would be sorted, word by word.
+    """
+    if not isinstance(words.schema["__key"].dataType, T.IntegralType):
+        return F.struct("__key", "__pos")
+    number = F.coalesce(F.col("__key").cast("decimal(20,0)"), F.lit(Decimal(-(10**19))))
+    return number * F.lit(Decimal(10**10)) + F.col("__pos").cast("decimal(10,0)")
+
+
 def _slot(token: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
 

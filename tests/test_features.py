@@ -269,6 +269,24 @@ def test_vectors_of_all_words(spark):
     assert {tuple(r["vec"]) for r in none.collect()} == {(0.0,) * 4} and none.count() == 26
 
 
+def test_vocabulary_counts_in_a_hash_table(spark):
+    rows = [(5, ["c", "b", "a"]), (None, ["z", "y"]), (-7, ["q", "p"]), (5, ["d", "b", "b"]), (2**63 - 1, ["n", "a"]), (-(2**63), ["m"]), (None, ["y"])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>")
+    for keyed in (df, df.withColumn("k", F.col("k").cast("string"))):
+        first = {}
+        number = keyed.schema["k"].dataType.typeName() == "long"
+        for k, tokens in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0 if number else str(r[0]))):
+            for p, t in enumerate(tokens):
+                place = (k is not None, (k or 0) if number else str(k), p)
+                n, least = first.get(t, (0, place))
+                first[t] = (n + 1, min(least, place))
+        order = sorted(first, key=lambda t: (-first[t][0], first[t][1]))
+        found = vocab.fit_vocabulary(keyed, "k", "tokens")
+        assert {r["token"]: r["id"] for r in found.collect()} == {t: i + 2 for i, t in enumerate(order)}
+    plan = vocab.fit_vocabulary(df, "k", "tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_vocabulary_of_word_vectors_is_bounded(spark):
     rows = [("a", 9), ("b", 7), ("c", 7), ("d", 2), ("e", 1)]
     counted = spark.createDataFrame(rows, "term string, tf bigint")

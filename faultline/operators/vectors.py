@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +25,13 @@ MIN_COUNT = 2
 SEED = 42
 EPOCHS = 10
 MAX_VOCAB = 10_000
-# Words that one task trains on.
+# Words that one task counts, unless all cores are busy anyway.
 TASK_WORDS = 250_000
+# Steps over all counted pairs that stand for one epoch, and the first step's size.
+EPOCH_STEPS = 2
+STEP_SIZE = 0.1
+# Trained words whose pairs are one task, and those whose scores a task holds at a time.
+TASK_TERMS = 256
 # Words of one slice of a batch, and pairs that a task counts before it sends them on.
 SLICE_WORDS = 200_000
 HELD_PAIRS = 4_000_000
@@ -47,11 +51,146 @@ def frequent_enough(words: DataFrame, min_count: int, max_vocab: int) -> tuple[i
     return int(row["least"] or min_count), int(row["n"] or 0)
 
 
-def _trainer(tokens: str, size: int, window: int, least: int, epochs: int, words: int, task_words: int) -> Word2Vec:
-    return Word2Vec(
-        vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=SEED,
-        numPartitions=max(1, math.ceil(words / task_words)), inputCol=tokens, outputCol="__unused",
-    )
+class WordVectors(NamedTuple):
+    """Trained words and their vectors, row by row."""
+
+    spark: SparkSession
+    terms: list[str]
+    matrix: np.ndarray
+
+
+def _counted(keys: list[np.ndarray], weights: list[int], width: int) -> pa.RecordBatch:
+    pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(place, np.repeat(weights, [len(k) for k in keys])).astype("int64")
+    columns = [pa.array((pairs // width).astype("int32")), pa.array((pairs % width).astype("int32")), pa.array(n)]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "ctx", "n"])
+
+
+def pair_counts(df: DataFrame, tokens: str, trained: Sequence[str], window: int = WINDOW) -> DataFrame:
+    """(word, ctx, n): how often two trained words, by number, meet within a window, in both orders.
+
+    Other words are left out of the texts first. A pair of neighbours counts ``window`` times, one at the edge of the window
+    once: the share of the windows of random width, 1 to ``window``, that hold it. Pairs are counted in the tasks first.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(pa.array(list(trained), pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        width = max(len(known), 1)
+        keys, weights, size = [], [], 0
+        for batch in batches:
+            column = batch.column(0)
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype("int64")
+            words = pc.index_in(column.flatten().cast(pa.string()), value_set=known)
+            numbers = pc.fill_null(words, -1).to_numpy(zero_copy_only=False).astype("int64")
+            text = np.repeat(np.arange(len(lengths)), lengths)[numbers >= 0]
+            numbers = numbers[numbers >= 0]
+            for low in range(0, len(numbers), SLICE_WORDS):
+                for gap in range(1, window + 1):
+                    high = min(low + SLICE_WORDS, len(numbers) - gap)
+                    if high <= low:
+                        break
+                    same = text[low:high] == text[low + gap : high + gap]
+                    one, two = numbers[low:high][same], numbers[low + gap : high + gap][same]
+                    keys.append(np.minimum(one, two) * width + np.maximum(one, two))
+                    weights.append(window + 1 - gap)
+                    size += len(one)
+                if size > HELD_PAIRS:
+                    yield _counted(keys, weights, width)
+                    keys, weights, size = [], [], 0
+        if size:
+            yield _counted(keys, weights, width)
+
+    pairs = df.select(tokens).mapInArrow(run, "word int, ctx int, n bigint")
+    pairs = pairs.groupBy("word", "ctx").agg(F.sum("n").alias("n"))
+    one, two = "named_struct('word', word, 'ctx', ctx, 'n', n)", "named_struct('word', ctx, 'ctx', word, 'n', n)"
+    twice = "named_struct('word', word, 'ctx', ctx, 'n', 2 * n)"
+    return pairs.select(F.inline(F.expr(f"IF(word = ctx, array({twice}), array({one}, {two}))")))
+
+
+def _slopes(rows: DataFrame, own: np.ndarray, other: np.ndarray, totals: np.ndarray, norms: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(slope of the likelihood of the counted pairs ``rows`` per row of ``own``, logarithm of each row's summed scores).
+
+    ``own`` are the words' vectors and ``other`` those of the contexts; with ``norms``, the logarithms that the words had,
+    it is the other way round. A slope is that of the mean over the pairs of a row.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((own, other, totals, norms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, other, totals, norms = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, TASK_TERMS):
+                part = batch.slice(at, TASK_TERMS)
+                word = part.column(0).to_numpy()
+                lengths = pc.list_value_length(part.column(1)).to_numpy()
+                place = np.repeat(np.arange(len(word)), lengths), part.column(1).flatten().to_numpy()
+                n = part.column(2).flatten().to_numpy()
+                scores = own[word] @ other.T
+                if norms is None:
+                    top = scores.max(axis=1)
+                    scores -= top[:, None]
+                    np.exp(scores, out=scores)
+                    summed = scores.sum(axis=1)
+                    norm = top + np.log(summed)
+                    scores *= (-totals[word] / summed)[:, None]
+                else:
+                    norm = np.zeros(len(word))
+                    scores -= norms
+                    np.exp(scores, out=scores)
+                    scores *= -totals
+                scores[place] += n
+                slope = (scores @ other) / totals[word][:, None]
+                columns = [part.column(0), pa.array([x.tobytes() for x in slope], pa.binary()), pa.array(norm.astype("float64"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "slope", "norm"])
+
+    found = rows.mapInArrow(run, "word int, slope binary, norm double").toArrow()
+    shared.destroy()
+    word = found.column("word").to_numpy()
+    slope, norm = np.zeros_like(own), np.zeros(len(own), "float32")
+    slope[word] = np.frombuffer(b"".join(found.column("slope").to_pylist()), "float32").reshape(-1, own.shape[1])
+    norm[word] = found.column("norm").to_numpy()
+    return slope, norm
+
+
+class _Climber:
+    """Steps along averaged slopes, each component on its own scale (Adam); their size falls to zero over all steps."""
+
+    def __init__(self, values: np.ndarray, steps: int):
+        self.values, self.steps, self.done = values, steps, 0
+        self.mean, self.square = np.zeros_like(values), np.zeros_like(values)
+
+    def step(self, slope: np.ndarray) -> None:
+        size = STEP_SIZE * (1 - self.done / self.steps)
+        self.done += 1
+        self.mean += 0.1 * (slope - self.mean)
+        self.square += 0.01 * (slope * slope - self.square)
+        scale = np.sqrt(self.square / (1 - 0.99**self.done)) + 1e-9
+        self.values += (size / (1 - 0.9**self.done)) * self.mean / scale
+
+
+def _train(texts: DataFrame, tokens: str, terms: DataFrame, size: int, window: int, epochs: int, words: int, task_words: int) -> WordVectors:
+    """Skip-gram vectors of the words ``terms`` (``term``, ``tf``) by the counts of all their pairs."""
+    spark = texts.sparkSession
+    names = [r["term"] for r in terms.orderBy(F.col("tf").desc(), "term").collect()]
+    wanted = min(spark.sparkContext.defaultParallelism, math.ceil(words / task_words))
+    dealt_out = texts.select(tokens)
+    if dealt_out.rdd.getNumPartitions() < wanted:
+        dealt_out = dealt_out.repartition(wanted)
+    pairs = pair_counts(dealt_out, tokens, names, window)
+    by_word = pairs.groupBy("word").agg(F.collect_list("ctx").alias("ctx"), F.collect_list(F.col("n").cast("float")).alias("n"))
+    tasks = max(1, math.ceil(len(names) / TASK_TERMS))
+    rows = checkpointed(by_word.repartition(tasks, "word").sortWithinPartitions("word"))
+    sums = rows.select("word", F.aggregate("n", F.lit(0.0), lambda x, y: x + y).alias("n")).toArrow()
+    totals = np.zeros(len(names), "float32")
+    totals[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
+    start = (np.random.default_rng(SEED).random((len(names), size), "float32") - np.float32(0.5)) / np.float32(size)
+    steps = EPOCH_STEPS * epochs
+    word, context = _Climber(start, steps), _Climber(np.zeros_like(start), steps)
+    for _ in range(steps if len(sums) else 0):
+        slope, norms = _slopes(rows, word.values, context.values, totals, None)
+        context.step(_slopes(rows, context.values, word.values, totals, norms)[0])
+        word.step(slope)
+    return WordVectors(spark, names, word.values.astype(float))
 
 
 def fit_word_vectors(
@@ -63,21 +202,26 @@ def fit_word_vectors(
     epochs: int = EPOCHS,
     max_vocab: int = MAX_VOCAB,
     task_words: int = TASK_WORDS,
-) -> Word2VecModel:
-    """Skip-gram vectors with the Spark ML trainer (hierarchical softmax).
+) -> WordVectors:
+    """Skip-gram vectors with the full softmax, trained on the counts of all pairs of words within a window.
 
-    Every ``task_words`` words are a task of their own; the trainer joins their updates after each epoch. The trainer keeps
-    one vector per term on the driver, so at most ``max_vocab`` terms are trained: the count that a term needs rises until
-    they fit.
+    The texts are read once, for the counts; how long a step takes depends on the trained words, not on the texts. Every
+    step is two jobs, the slopes of the words and those of the contexts, TASK_TERMS words a task. Driver and tasks hold one
+    vector per word and context, so at most ``max_vocab`` terms are trained: the count that a term needs rises until they
+    fit.
     """
     terms = train.select(unfold(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = checkpointed(terms.filter("term IS NOT NULL"))
     least, words = frequent_enough(terms, min_count, max_vocab)
-    return _trainer(tokens, size, window, least, epochs, words, task_words).fit(train)
+    return _train(train, tokens, terms.filter(F.col("tf") >= least), size, window, epochs, words, task_words)
 
 
-def word_vector_table(model: Word2VecModel) -> DataFrame:
-    """(term, vec) of a fitted model."""
-    return model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
+def word_vector_table(model: WordVectors) -> DataFrame:
+    """(term, vec) of trained vectors."""
+    path = stage_path(model.spark, "word-vectors")
+    vec = pa.array(list(model.matrix), pa.list_(pa.float64()))
+    model.spark.createDataFrame(pa.table({"term": pa.array(model.terms, pa.string()), "vec": vec})).write.parquet(path)
+    return model.spark.read.parquet(path)
 
 
 def _context_keys(codes: np.ndarray, context: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -200,7 +344,7 @@ def all_word_vectors(
 ) -> DataFrame:
     """(term, vec) of every word that occurs at least ``min_count`` times, however many there are.
 
-    The trainer holds its vectors on the driver, so it gets the ``max_vocab`` most frequent words. The vectors of all other
+    The training holds its vectors on the driver, so it gets the ``max_vocab`` most frequent words. The vectors of all other
     words are induced (a la carte embedding): a linear map takes the mean vector of the trained words around a word to its
     vector, fitted by least squares on the trained words, where both are known. Only counts and sums of that are shuffled;
     driver and tasks hold at most ``max_vocab`` vectors and one matrix of ``size`` x ``size``.
@@ -215,11 +359,8 @@ def all_word_vectors(
     least, words = frequent_enough(terms, min_count, max_vocab)
     if terms.filter(F.col("tf") >= least).isEmpty():
         return terms.select("term", F.array_repeat(F.lit(0.0), size).alias("vec"))
-    trainer = _trainer(tokens, size, window, least, epochs, words, task_words)
-    trained = word_vector_table(trainer.fit(train.filter(F.col(tokens).isNotNull())))
-    table = trained.toArrow()
-    names = table.column("term").to_pylist()
-    matrix = np.array(table.column("vec").combine_chunks().flatten(), float).reshape(-1, size)
+    model = _train(train, tokens, terms.filter(F.col("tf") >= least), size, window, epochs, words, task_words)
+    trained, names, matrix = word_vector_table(model), model.terms, model.matrix
     if terms.count() == len(names):
         return trained
     path = stage_path(spark, "word-contexts")

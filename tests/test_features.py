@@ -247,6 +247,63 @@ def test_context_means_over_small_batches(spark):
         assert set(got) == set(want) and all(np.allclose(got[w], want[w]) for w in want)
 
 
+def test_pair_counts_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [[f"w{int(x)}" for x in rng.zipf(1.4, int(k)) % 60] for k in rng.integers(0, 60, 80)] + [["w1"], ["x", "w2", None, "w2"], []]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "tokens array<string>").repartition(3)
+    trained = ["w1", "w2", "w3", "w4", "never"]
+    want = {}
+    for words in texts:
+        numbers = [trained.index(w) for w in words if w in trained]
+        for i, one in enumerate(numbers):
+            for j in range(max(0, i - 4), min(len(numbers), i + 5)):
+                if i != j:
+                    want[one, numbers[j]] = want.get((one, numbers[j]), 0) + 5 - abs(i - j)
+    for words, pairs in ((200_000, 4_000_000), (50, 100)):
+        monkeypatch.setattr(vectors, "SLICE_WORDS", words)
+        monkeypatch.setattr(vectors, "HELD_PAIRS", pairs)
+        got = vectors.pair_counts(df, "tokens", trained, 4).collect()
+        assert {(r["word"], r["ctx"]): r["n"] for r in got} == want and len(got) == len(want)
+    assert vectors.pair_counts(df, "tokens", [], 4).count() == 0
+
+
+def test_slopes_equal_softmax(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    counts = rng.integers(0, 4, (9, 9))
+    counts = counts + counts.T
+    counts[7], counts[:, 7] = 0, 0  # a word that meets no other
+    met = [i for i in range(9) if i != 7]
+    rows = [(i, [int(j) for j in np.flatnonzero(counts[i])], [float(n) for n in counts[i][counts[i] > 0]]) for i in met]
+    table = spark.createDataFrame(rows, "word int, ctx array<int>, n array<float>").repartition(2)
+    word, context = rng.normal(size=(2, 9, 5)).astype("float32")
+    totals = counts.sum(1).astype("float32")
+    scores = word @ context.T
+    share = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+    miss = counts - totals[:, None] * share
+    for size in (256, 2):
+        monkeypatch.setattr(vectors, "TASK_TERMS", size)
+        slope, norms = vectors._slopes(table, word, context, totals, None)
+        assert np.allclose(slope[met], (miss @ context / np.maximum(totals, 1)[:, None])[met], atol=1e-4) and not slope[7].any()
+        assert np.allclose(norms[met], np.log(np.exp(scores).sum(1))[met], atol=1e-4)
+        slope, _ = vectors._slopes(table, context, word, totals, norms)
+        assert np.allclose(slope[met], (miss.T @ word / np.maximum(totals, 1)[:, None])[met], atol=1e-4)
+
+
+def test_word_vectors_cost_no_more_for_repeated_texts(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [([str(w) for w in rng.choice([f"w{i}" for i in range(20)], 12)],) for _ in range(200)]
+    known, pairs = [], vectors._slopes
+    monkeypatch.setattr(vectors, "_slopes", lambda table, *some: known.append(table.count()) or pairs(table, *some))
+    made = []
+    for times in (1, 1, 3):  # the same vectors again, and from three times the texts
+        model = vectors.fit_word_vectors(spark.createDataFrame(rows * times, "tokens array<string>"), "tokens", size=8, epochs=2, task_words=500)
+        made.append({r["term"]: r["vec"] for r in vectors.word_vector_table(model).collect()})
+    assert set(known) == {20} and len(known) == 3 * 2 * 2 * vectors.EPOCH_STEPS
+    assert all(np.allclose(made[0][w], x[w], atol=1e-3) for x in made[1:] for w in x) and set(made[0]) == set(made[2])
+    none = vectors.fit_word_vectors(spark.createDataFrame([(None,), (["alone"] * 1,)], "tokens array<string>"), "tokens", size=4)
+    assert vectors.word_vector_table(none).count() == 0
+
+
 def test_vectors_of_all_words(spark):
     rng = np.random.default_rng(6)
     topics = [[f"{t}{i}" for i in range(12)] for t in ("sea", "sky")]

@@ -71,7 +71,8 @@ def links(fps: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
         ).alias("key"),
     )
     shared = variants.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    found = staged(variants.join(shared, "key"), "variants")
+    # Sizes are estimated before the explode, 64 times too low: without a hint the variants of all fingerprints are broadcast.
+    found = staged(variants.join(shared.hint("merge"), "key"), "variants")
     few = found.filter(F.col("members") <= paired_bucket)
     other = few.select("key", F.col("fp").alias("other"))
     # The first shared variant: of the lower half if that differs by one bit or less, else of the upper half.
@@ -80,7 +81,7 @@ def links(fps: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
         f"shiftrightunsigned(key, 32) = if({low} = 0, 0, if(bit_count({low}) = 1, bit_count({low} - 1), "
         "32 + if(shiftrightunsigned(fp ^ other, 32) = 0, 0, bit_count(shiftrightunsigned(fp ^ other, 32) - 1))))"
     )
-    pairs = few.join(other, "key").filter(f"fp < other AND bit_count(fp ^ other) <= {MAX_BITS} AND {first}")
+    pairs = few.join(other.hint("merge"), "key").filter(f"fp < other AND bit_count(fp ^ other) <= {MAX_BITS} AND {first}")
     many = found.filter(F.col("members") > paired_bucket).select("fp").distinct()
     doubled = many.select(
         "fp",

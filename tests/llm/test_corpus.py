@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, html, mixing, neighbours, quality, secrets, simhash, suffixes, tokens, warc
+from faultline.llm.common import staged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string"
@@ -103,6 +104,20 @@ def test_simhash_links(spark, bucket):
     )
 
 
+def test_simhash_variants_are_not_broadcast(spark, tmp_path, monkeypatch):
+    path, plans = str(tmp_path / "fps"), []
+    spark.range(100).select(F.col("id").alias("fp")).write.parquet(path)
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(simhash, "staged", noted)
+    found = simhash.links(spark.read.parquet(path))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_decontaminate(spark, docs, empty):
     base = prose(1, 120).split()
     items = [(0, " ".join(base[20:45])), (1, "one"), (2, None), (3, ""), (4, " ".join(base[20:45])), (5, "zz yy"), (10, "ONE, two!")]

@@ -187,6 +187,29 @@ def test_neighbours_equal_brute_force(spark):
     assert models.nearest_rows(none, queries, 3).count() == 0
 
 
+def test_neighbours_in_many_tasks(spark, monkeypatch):
+    """Both sides of a part meet when no partitions are merged; huge and equal values, and cells of several parts."""
+    rng = np.random.default_rng(4)
+    known, asked = np.float32(rng.normal(size=(400, 5))).astype(float), np.float32(rng.normal(size=(60, 5))).astype(float)
+    known[300:] = known[0]
+    asked[:20] = known[:20]
+    monkeypatch.setattr(models, "PART_ROWS", 60, raising=False)
+    monkeypatch.setattr(models, "STEP_DISTANCES", 700, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for norm, scale in ((1, 1.0), (2, 1e20)):
+            train = spark.createDataFrame([(i, i % 3, (v * scale).tolist()) for i, v in enumerate(known)], "id bigint, label int, vec array<double>")
+            queries = spark.createDataFrame([(i, (v * scale).tolist()) for i, v in enumerate(asked)], "qid bigint, vec array<double>")
+            gap = np.abs(asked[:, None] * scale - known[None] * scale)
+            distance = gap.sum(-1) if norm == 1 else np.sqrt((gap * gap).sum(-1))
+            want = {(q, int(i)) for q in range(60) for i in np.lexsort((np.arange(400), distance[q]))[:7]}
+            rows = models.nearest_rows(train, queries, 7, norm, block_rows=40).collect()
+            assert {(r["qid"], r["id"]) for r in rows} == want and len(rows) == 420
+            assert [r["distance"] for r in rows] == pytest.approx([distance[r["qid"], r["id"]] for r in rows])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_word_vectors_in_several_tasks(spark):
     rng = np.random.default_rng(5)
     topics = [[f"{t}{i}" for i in range(8)] for t in ("sea", "sky")]

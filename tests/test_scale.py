@@ -91,6 +91,19 @@ def test_log_times_send_no_table_to_the_driver(spark):
     assert sorted(tuple(r) for r in times.select(*columns).collect()) == [(0, 2, 3, 7.5), (1, 3, 4, None)]
 
 
+def test_log_times_read_the_epochs_once(spark):
+    block = "Epoch 1/9\n - 3s - loss: 1\nValidation time: 1.5 s.\nSaving best model at epoch 1\nEpoch 2/9\n - 4s - loss: 1\nValidation time: 2.5 s.\n"
+    text = f"Current partition: 0\nRun # 0\n{block}Evaluating the best model on valid\nx\nEvaluating the best model on test\nValidation time: 7.5 s.\n"
+    logs = spark.createDataFrame([("a", text), ("a", text), ("b", text)], "path string, text string")
+    runs = R.log_runs(logs)
+    times = R.log_times(runs, R.log_epochs(runs))
+    plan = times._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Window") == 1
+    columns = ["path", "number_of_epoch_at_best_model", "total_train_time_at_best_model", "total_train_time_at_finish", "final_evaluation_time"]
+    found = sorted(tuple(r) for r in times.select(*columns).collect())
+    assert found == [("a", 1, 6, 14, 7.5), ("a", 1, 6, 14, 7.5), ("b", 1, 3, 7, 7.5)]
+
+
 def test_log_violations_keep_epochs_single(spark):
     runs = _log_runs(spark)
     found = R.log_violations(runs, R.log_epochs(runs), partitions=1, runs_each=2)
